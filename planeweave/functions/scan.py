@@ -1,11 +1,12 @@
 """Ordered scans whose work stays bounded when one key holds most of the rows.
 
-A plain window sorts all rows of a key in one task.  Here the order column (a
-unique position such as `msg_no`) is cut into chunks of fixed width, so that a
-window only ever sees the rows of one (key, chunk).  A summary row per
-(key, chunk), aggregated before its shuffle, is scanned over the chunks of the
-key and joined back as the state the chunk starts from.  Results equal those of
-the plain window.
+A window sorts all rows of a key in one task.  That is the cheapest plan while
+every key is small, so the largest key is measured first (a count that is
+aggregated before its shuffle).  Beyond `PLAIN_ROWS` the scan is split: the order
+column (a unique position such as `msg_no`) is cut into chunks of fixed width, so
+that a window only ever sees the rows of one (key, chunk); a summary row per
+(key, chunk) is scanned over the chunks of the key and joined back as the state
+the chunk starts from.  Both plans give the same rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
+PLAIN_ROWS = 1_000_000
+CHUNK_ROWS = 262_144
+
+# None: measure.  False: plain window.  A number: split into chunks this wide.
+Split = int | bool | None
 
 
 @dataclass(frozen=True)
@@ -117,9 +122,22 @@ def position() -> Scan:
     )
 
 
-def chunk_of(order: str, rows: int | None = None) -> Column:
+def chunk_of(order: str, rows: int) -> Column:
     """The chunk a position falls into."""
-    return F.floor(F.col(order) / F.lit(rows or CHUNK_ROWS)).cast("long")
+    return F.floor(F.col(order) / F.lit(rows)).cast("long")
+
+
+def crowded(df: DataFrame, keys: Sequence[str], limit: int = PLAIN_ROWS) -> bool:
+    """Whether some key holds more rows than one task should sort."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.filter(F.col("n") > limit).isEmpty()
+
+
+def split_width(df: DataFrame, keys: Sequence[str], split: Split) -> int | None:
+    """The chunk width to use, or None for a plain window."""
+    if split is None:
+        split = CHUNK_ROWS if crowded(df, keys) else False
+    return None if split is False else int(split)
 
 
 def scan(
@@ -127,32 +145,30 @@ def scan(
     keys: Sequence[str],
     order: str,
     *,
-    chunk: str | None = None,
-    bucket: Column | None = None,
+    split: Split = None,
     ties: Sequence[str] = (),
-    rows: int | None = None,
+    bucket: Column | None = None,
     **specs: Scan,
 ) -> DataFrame:
     """Add one column per spec, scanned in `order` within `keys`.
 
-    `chunk` names an existing chunk column (then its partitioning is reused);
-    `bucket` replaces the default cut for order columns that are not positions
-    and must grow with `order`.  Key columns must not be null.
+    `bucket` replaces the cut into chunks where `order` is no position; it must
+    grow with `order`.  In a split scan the keys must not be null.
     """
-    name = chunk or "_chunk"
-    if chunk is None:
-        df = df.withColumn(name, bucket if bucket is not None else chunk_of(order, rows))
-    part = [*keys, name]
+    width = split_width(df, keys, split)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(order, *ties)
+        return df.select("*", *[s.local(w).alias(n) for n, s in specs.items()])
+
+    chunked = df.withColumn("_chunk", chunk_of(order, width) if bucket is None else bucket)
+    part = [*keys, "_chunk"]
     inside = Window.partitionBy(*part).orderBy(order, *ties)
-    across = Window.partitionBy(*keys).orderBy(name)
+    across = Window.partitionBy(*keys).orderBy("_chunk")
 
-    local = df.select("*", *[s.local(inside).alias(f"_in_{n}") for n, s in specs.items()])
-    summaries = df.groupBy(*part).agg(*[s.summary.alias(n) for n, s in specs.items()])
+    local = chunked.select("*", *[s.local(inside).alias(f"_in_{n}") for n, s in specs.items()])
+    summaries = chunked.groupBy(*part).agg(*[s.summary.alias(n) for n, s in specs.items()])
     carried = summaries.select(
         *part, *[s.carry(F.col(n), across).alias(f"_at_{n}") for n, s in specs.items()])
-
-    joined = local.join(carried, part, "inner")
-    kept = [F.col(c) for c in df.columns if c != name or chunk is not None]
-    return joined.select(
-        *kept,
+    return local.join(carried, part, "inner").select(
+        *df.columns,
         *[s.merge(F.col(f"_in_{n}"), F.col(f"_at_{n}")).alias(n) for n, s in specs.items()])
