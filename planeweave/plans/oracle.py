@@ -109,3 +109,102 @@ block("n2attr", """SELECT run_id, flow_id, any_value(assoc_lo) AS assoc_lo,
     coalesce(arg_min(coalesce(ngap, ''), msg_no), '') <> 'InitialUEMessage' AS partial,
     min(msg_no) AS first_msg_no, arg_min(ts, msg_no) AS first_ts, arg_max(ts, msg_no) AS last_ts,
     count(*) AS messages FROM n2vis GROUP BY 1, 2""")
+
+_KIND = "CASE {t} " + " ".join(
+    f"WHEN {n} THEN '{k}'" for n, k in {
+        1: "heartbeat", 3: "pfd_management", 5: "association_setup", 7: "association_update",
+        9: "association_release", 12: "node_report", 14: "session_set_deletion",
+        50: "session_establishment", 52: "session_modification", 54: "session_deletion",
+        56: "session_report"}.items()) + " END"
+block("n4kind", f"""SELECT *, {_KIND.format(t='msg_type')} AS req_kind,
+    {_KIND.format(t='msg_type - 1')} AS rsp_kind FROM n4b""")
+block("n4pair", """SELECT *, CASE WHEN req_kind IS NOT NULL THEN src_ip ELSE dst_ip END AS client,
+    CASE WHEN req_kind IS NOT NULL THEN src_port ELSE dst_port END AS cport
+    FROM n4kind WHERE unparsed IS NULL AND (req_kind IS NOT NULL OR rsp_kind IS NOT NULL)""")
+block("n4round", """SELECT *, coalesce(sum(CASE WHEN rsp_kind IS NOT NULL THEN 1 ELSE 0 END) OVER (
+    PARTITION BY run_id, client, cport, seq ORDER BY msg_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rnd FROM n4pair""")
+block("n4proc", """SELECT run_id, coalesce(r.kind, q.kind) AS kind, q.ts AS start_ts,
+    coalesce(r.ts, q.ts) AS end_ts, q.name AS start_msg, r.name AS end_msg,
+    CASE WHEN r.msg_no IS NULL THEN 'timeout' WHEN r.cause_code IS NULL THEN 'unknown'
+      WHEN r.cause_code IN (1, 2, 3) THEN 'accept' ELSE 'reject' END AS outcome,
+    r.cause_code AS cause, r.cause AS cause_name, q.msg_no AS req_no, r.msg_no AS rsp_no, seq,
+    sends, (coalesce(r.ts, q.ts) - q.ts) * 1000.0 AS duration_ms
+    FROM (SELECT run_id, client, cport, seq, rnd, arg_min(ts, msg_no) AS ts,
+        arg_min(name, msg_no) AS name, arg_min(req_kind, msg_no) AS kind, min(msg_no) AS msg_no,
+        count(*) AS sends FROM n4round WHERE req_kind IS NOT NULL GROUP BY 1, 2, 3, 4, 5) q
+    LEFT JOIN (SELECT run_id, client, cport, seq, rnd, ts, name, rsp_kind AS kind, msg_no,
+        cause_code, cause FROM n4round WHERE rsp_kind IS NOT NULL) r
+    USING (run_id, client, cport, seq, rnd)""")
+
+_SVC = """CASE WHEN {p} LIKE '/nudm-ueau/%' THEN 'Nudm_UEAuthentication'
+    WHEN {p} LIKE '/nudm-uecm/%' THEN 'Nudm_UECM' WHEN {p} LIKE '/nudm-sdm/%' THEN 'Nudm_SDM'
+    WHEN {p} LIKE '/nnssf-nsselection/%' THEN 'Nnssf_NSSelection'
+    WHEN {p} LIKE '/nsmf-pdusession/%' THEN 'Nsmf_PDUSession'
+    WHEN {p} LIKE '/nnrf-nfm/%' THEN 'Nnrf_NFM'
+    WHEN {p} LIKE '/nnrf-disc/%' THEN 'Nnrf_NFDiscovery'
+    WHEN {p} LIKE '/nausf-auth/%' THEN 'Nausf_UEAuthentication'
+    WHEN split_part(ltrim({p}, '/'), '/', 1) = '' THEN 'unknown'
+    ELSE array_to_string(list_transform(
+      string_split_regex(split_part(ltrim({p}, '/'), '/', 1), '[-_]'),
+      lambda x: upper(x[1:1]) || lower(x[2:])), '') END"""
+SERVICE = _SVC.format(p="path")
+PATH_SUPI = """CASE WHEN regexp_matches(path, 'imsi-\\d{14,15}')
+      THEN regexp_extract(path, 'imsi-(\\d{14,15})', 1)
+    WHEN regexp_matches(path, 'suci-0-\\d{3}-\\d{2,3}-\\d+-0-\\d+-[0-9a-fA-F]+')
+      THEN regexp_replace(regexp_extract(path,
+        'suci-0-(\\d{3}-\\d{2,3})-\\d+-0-\\d+-[0-9a-fA-F]+', 1), '-', '')
+        || regexp_extract(path, 'suci-0-\\d{3}-\\d{2,3}-\\d+-0-\\d+-([0-9a-fA-F]+)', 1) END"""
+block("sbireq", f"""SELECT *, least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) || '|' ||
+    greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS conn,
+    CASE WHEN direction = 'request' AND note IS NULL THEN {SERVICE} END AS own_name,
+    {PATH_SUPI} AS path_supi,
+    nullif(regexp_extract(body, '"supi": "imsi-(\\d{{14,15}})"', 1), '') AS body_supi FROM sbib""")
+block("sbilast", """SELECT run_id, conn, stream_id, max(msg_no) AS msg_no
+    FROM sbireq WHERE direction = 'request' GROUP BY 1, 2, 3""")
+block("sbimsg", """SELECT m.run_id, m.msg_no, m.ts, m.src_ip, m.dst_ip, m.src_port, m.dst_port,
+    m.stream_id, m.direction, m.method, m.path, m.status, m.conn,
+    CASE WHEN m.direction = 'request' THEN m.own_name WHEN m.note IS NULL THEN q.own_name END
+      AS name,
+    CASE WHEN m.direction = 'response' AND q.note IS NOT NULL
+      THEN 'response to refused request: ' || q.note ELSE m.note END AS unparsed,
+    CASE WHEN m.direction = 'request' AND m.note IS NULL AND (m.path_supi IS NULL OR
+      m.body_supi IS NULL OR m.path_supi = m.body_supi)
+      THEN coalesce(m.path_supi, m.body_supi) END AS supi,
+    CASE WHEN m.direction = 'response' THEN json_extract_string(m.body, '$.title') END
+      AS problem_title,
+    CASE WHEN m.direction = 'response' THEN nullif(json_extract_string(m.body, '$.cause'), '') END
+      AS problem_cause
+    FROM sbireq m LEFT JOIN (SELECT s.* FROM sbireq s JOIN sbilast USING
+      (run_id, conn, stream_id, msg_no)) q
+    ON q.run_id = m.run_id AND q.conn = m.conn AND q.stream_id = m.stream_id""")
+block("sbiproc", """SELECT q.run_id, q.conn, q.stream_id, coalesce(q.name, 'unknown') AS kind,
+    q.ts AS start_ts, coalesce(r.ts, q.ts) AS end_ts,
+    CASE WHEN q.method IS NOT NULL THEN q.method || ' ' || q.path ELSE q.path END AS start_msg,
+    CASE WHEN r.msg_no IS NOT NULL THEN coalesce(CAST(r.status AS VARCHAR), 'None') END AS end_msg,
+    CASE WHEN r.msg_no IS NULL THEN 'timeout' WHEN r.status >= 200 AND r.status < 300 THEN 'accept'
+      ELSE 'reject' END AS outcome, r.status, q.msg_no AS req_no, r.msg_no AS rsp_no
+    FROM (SELECT * FROM sbimsg WHERE direction = 'request' AND unparsed IS NULL
+      QUALIFY row_number() OVER (PARTITION BY run_id, conn, stream_id ORDER BY msg_no DESC) = 1) q
+    LEFT JOIN (SELECT * FROM sbimsg WHERE direction = 'response' AND unparsed IS NULL
+      QUALIFY row_number() OVER (PARTITION BY run_id, conn, stream_id ORDER BY msg_no DESC) = 1) r
+    ON q.run_id = r.run_id AND q.conn = r.conn AND q.stream_id = r.stream_id""")
+
+block("supiclaim", "SELECT DISTINCT run_id, v_supi AS supi, flow_id FROM n2vis WHERE v_supi <> ''")
+block("tunclaim", """SELECT DISTINCT run_id, teid, tip AS ip, flow_id FROM n2vis
+    WHERE teid IS NOT NULL""")
+block("supiowner", """SELECT run_id, supi, any_value(flow_id) AS flow_id FROM supiclaim
+    GROUP BY 1, 2 HAVING count(DISTINCT flow_id) = 1""")
+block("tunowner", """SELECT run_id, teid, ip, any_value(flow_id) AS flow_id FROM tunclaim
+    GROUP BY 1, 2, 3 HAVING count(DISTINCT flow_id) = 1""")
+block("sbireqlink", """SELECT m.run_id, m.msg_no, m.conn, m.stream_id, o.flow_id FROM sbimsg m
+    JOIN supiowner o USING (run_id, supi) WHERE m.direction = 'request' AND m.unparsed IS NULL""")
+block("sbilink", """SELECT run_id, msg_no, flow_id FROM sbireqlink UNION ALL
+    SELECT m.run_id, m.msg_no, l.flow_id FROM sbimsg m JOIN (SELECT * FROM sbireqlink QUALIFY
+      row_number() OVER (PARTITION BY run_id, conn, stream_id ORDER BY msg_no DESC) = 1) l
+    USING (run_id, conn, stream_id) WHERE m.direction = 'response'""")
+block("n4key", """SELECT run_id, msg_no, teid1 AS teid, tip1 AS ip FROM n4b
+    WHERE teid1 IS NOT NULL AND unparsed IS NULL UNION ALL
+    SELECT run_id, msg_no, teid2, tip2 FROM n4b WHERE teid2 IS NOT NULL AND unparsed IS NULL""")
+block("n4link", """SELECT run_id, msg_no, any_value(flow_id) AS flow_id FROM n4key
+    JOIN tunowner USING (run_id, teid, ip) GROUP BY 1, 2 HAVING count(DISTINCT flow_id) = 1""")
