@@ -6,9 +6,11 @@ side, where adaptive execution splits it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planeweave.functions.scan import Split, split_width
+
 SUPI_KEY = ["run_id", "supi"]
 TUNNEL_KEY = ["run_id", "teid", "ip"]
 
@@ -33,28 +35,34 @@ def unambiguous(claims: DataFrame, keys: list[str]) -> DataFrame:
     ).filter(F.col("flow_id") == F.col("_other")).drop("_other")
 
 
-def link_requests(sbi: DataFrame, flow_messages: DataFrame) -> DataFrame:
-    """(run_id, msg_no, flow_id) of SBI requests whose identity names one flow."""
-    owners = unambiguous(supi_claims(flow_messages), SUPI_KEY)
-    requests = sbi.filter(
-        (F.col("direction") == "request") & F.col("unparsed").isNull()
-        & F.col("conn").isNotNull() & F.col("supi").isNotNull())
-    return requests.select(*SUPI_KEY, "msg_no", "conn", "stream_id").join(owners, SUPI_KEY)
-
-
-def link_sbi(sbi: DataFrame, flow_messages: DataFrame) -> DataFrame:
-    """Links of requests and of the responses that inherit them.
+def sbi_with_flow(sbi: DataFrame, flow_messages: DataFrame, split: Split = None) -> DataFrame:
+    """SBI messages with the flow they link to.
 
-    A response follows the last linked request of its stream, whether or not the
-    response itself was refused.
+    A decoded request links when its identity names exactly one flow.  A response
+    follows the last linked request of its stream, whether or not the response
+    itself was refused.
     """
-    requests = link_requests(sbi, flow_messages)
     stream = ["run_id", "conn", "stream_id"]
-    last = requests.groupBy(*stream).agg(F.max_by("flow_id", "msg_no").alias("flow_id"))
-    responses = sbi.filter((F.col("direction") == "response") & F.col("conn").isNotNull()).select(
-        *stream, "msg_no").join(last, stream)
-    link = ["run_id", "msg_no", "flow_id"]
-    return requests.select(*link).unionByName(responses.select(*link))
+    owners = unambiguous(supi_claims(flow_messages), SUPI_KEY).withColumnRenamed(
+        "flow_id", "_owner")
+    joined = sbi.join(owners, SUPI_KEY, "left")
+    own = F.when((F.col("direction") == "request") & F.col("unparsed").isNull()
+                 & F.col("conn").isNotNull(), F.col("_owner"))
+    marked = joined.withColumn("_own", own)
+    last = F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("msg_no")))
+    if split_width(sbi, stream, split) is None:
+        known = marked.withColumn("_last", last.over(Window.partitionBy(*stream)))
+    else:
+        known = marked.join(marked.groupBy(*stream).agg(last.alias("_last")), stream, "left")
+    follows = (F.col("direction") == "response") & F.col("conn").isNotNull()
+    return known.withColumn(
+        "flow_id", F.when(follows, F.col("_last")).otherwise(F.col("_own"))
+    ).select(*sbi.columns, "flow_id")
+
+
+def links(messages: DataFrame) -> DataFrame:
+    """The link table (run_id, msg_no, flow_id) of messages that have a flow."""
+    return messages.filter(F.col("flow_id").isNotNull()).select("run_id", "msg_no", "flow_id")
 
 
 def link_n4(n4: DataFrame, flow_messages: DataFrame) -> DataFrame:
@@ -70,9 +78,9 @@ def link_n4(n4: DataFrame, flow_messages: DataFrame) -> DataFrame:
     return unambiguous(keys.join(owners, TUNNEL_KEY), ["run_id", "msg_no"])
 
 
-def with_flow(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """Messages with their linked flow_id, null when unlinked."""
-    return messages.join(links, ["run_id", "msg_no"], "left")
+def n4_with_flow(n4: DataFrame, flow_messages: DataFrame) -> DataFrame:
+    """N4 messages with the flow they link to, null when they link to none."""
+    return n4.join(link_n4(n4, flow_messages), ["run_id", "msg_no"], "left")
 
 
 def flow_refs(links: DataFrame, part_rows: int = 100_000) -> DataFrame:
@@ -86,20 +94,6 @@ def flow_refs(links: DataFrame, part_rows: int = 100_000) -> DataFrame:
         F.array_sort(F.collect_list("msg_no")).alias("refs"))
 
 
-def procedure_flow(procs: DataFrame, links: DataFrame, response_too: bool) -> DataFrame:
-    """Procedures with a flow_id: their request's, else (N4) their response's."""
-    def side(number: str, name: str) -> DataFrame:
-        return links.select("run_id", F.col("msg_no").alias(number),
-                            F.col("flow_id").alias(name))
-
-    asked = procs.join(side("req_no", "_req_flow"), ["run_id", "req_no"], "left")
-    if not response_too:
-        return asked.withColumnRenamed("_req_flow", "flow_id")
-    both = asked.join(side("rsp_no", "_rsp_flow"), ["run_id", "rsp_no"], "left")
-    return both.withColumn("flow_id", F.coalesce("_req_flow", "_rsp_flow")).drop(
-        "_req_flow", "_rsp_flow")
-
-
 def bijection_violations(claims: DataFrame, key: Column | str = "supi") -> DataFrame:
     """Identities with several flows and flows with several identities."""
     several = F.min("other") != F.max("other")

@@ -73,8 +73,10 @@ def pair_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
     round is the one answered, later ones are retransmissions; a round without a
     request is an orphan response and gives nothing; a round without a response
     is a timeout of zero duration.  The kind of an answered procedure is its
-    response's.
+    response's.  Messages that carry a flow_id give it on: the request's, else
+    the response's (C7).
     """
+    linked = ["flow_id"] if "flow_id" in messages.columns else []
     rounds = scan(exchanges(messages), PAIR_KEY, "msg_no", split=split,
                   round=count_before(F.col("role") == "response"))
     if split:
@@ -82,8 +84,8 @@ def pair_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
     no = F.col("msg_no")
     asks, answers = F.col("role") == "request", F.col("role") == "response"
     paired = rounds.groupBy(*PAIR_KEY, "round").agg(
-        F.min_by(F.struct("ts", "name", "kind", "msg_no"), F.when(asks, no)).alias("req"),
-        F.min_by(F.struct("ts", "name", "kind", "cause_code", "cause", "msg_no"),
+        F.min_by(F.struct("ts", "name", "kind", "msg_no", *linked), F.when(asks, no)).alias("req"),
+        F.min_by(F.struct("ts", "name", "kind", "cause_code", "cause", "msg_no", *linked),
                  F.when(answers, no)).alias("rsp"),
         F.count(F.when(asks, 1)).alias("sends"),
     ).filter(F.col("req").isNotNull())
@@ -103,7 +105,8 @@ def pair_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
         rsp["msg_no"].alias("rsp_no"),
         F.col("seq_key").alias("seq"),
         "sends",
-        ((F.coalesce(rsp["ts"], req["ts"]) - req["ts"]) * 1000.0).alias("duration_ms"))
+        ((F.coalesce(rsp["ts"], req["ts"]) - req["ts"]) * 1000.0).alias("duration_ms"),
+        *[F.coalesce(req[c], rsp[c]).alias(c) for c in linked])
 
 
 def in_order(procs: DataFrame, split: Split = None) -> DataFrame:

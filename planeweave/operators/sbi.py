@@ -76,25 +76,31 @@ def pair_procedures(messages: DataFrame) -> DataFrame:
 
     Refused messages take no part.  When a side repeats on a stream its last
     message counts; time order is not checked.  Any status but 2xx is a reject.
+    Messages that carry a flow_id give it on: a procedure has the flow of the
+    last request of its stream, which is none when that request was refused (C7).
     """
     asks = F.col("direction") == "request"
+    decoded = F.col("unparsed").isNull()
     no = F.col("msg_no")
-    paired = messages.filter(F.col("unparsed").isNull() & F.col("conn").isNotNull()).groupBy(
-        *STREAM_KEY).agg(
+    linked = "flow_id" in messages.columns
+    flow = [F.max_by("flow_id", F.when(asks, no)).alias("flow_id")] if linked else []
+    paired = messages.filter(F.col("conn").isNotNull()).groupBy(*STREAM_KEY).agg(
         F.max_by(F.struct("ts", "name", "method", "path", "msg_no"),
-                 F.when(asks, no)).alias("req"),
-        F.max_by(F.struct("ts", "status", "msg_no"), F.when(~asks, no)).alias("rsp"),
+                 F.when(asks & decoded, no)).alias("req"),
+        F.max_by(F.struct("ts", "status", "msg_no"),
+                 F.when(~asks & decoded, no)).alias("rsp"),
+        *flow,
     ).filter(F.col("req").isNotNull())
     req, rsp = F.col("req"), F.col("rsp")
     status = F.coalesce(rsp["status"], F.lit(0))
-    truthy = F.nullif(req["method"], F.lit(""))
+    method = F.nullif(req["method"], F.lit(""))
     return paired.select(
         *STREAM_KEY,
         F.coalesce(F.nullif(req["name"], F.lit("")), F.lit("unknown")).alias("kind"),
         req["ts"].alias("start_ts"),
         F.coalesce(rsp["ts"], req["ts"]).alias("end_ts"),
-        F.when(truthy.isNotNull(),
-               F.concat(truthy, F.lit(" "), F.coalesce(req["path"], F.lit("None"))))
+        F.when(method.isNotNull(),
+               F.concat(method, F.lit(" "), F.coalesce(req["path"], F.lit("None"))))
         .otherwise(F.coalesce(F.nullif(req["path"], F.lit("")), F.lit("?"))).alias("start_msg"),
         F.when(rsp.isNotNull(), F.coalesce(rsp["status"].cast("string"), F.lit("None")))
         .alias("end_msg"),
@@ -102,7 +108,8 @@ def pair_procedures(messages: DataFrame) -> DataFrame:
         .otherwise("reject").alias("outcome"),
         rsp["status"].alias("status"),
         req["msg_no"].alias("req_no"),
-        rsp["msg_no"].alias("rsp_no"))
+        rsp["msg_no"].alias("rsp_no"),
+        *(["flow_id"] if linked else []))
 
 
 def unpaired_requests(procs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Importing the query modules fills the registry."""
 
-from planeweave.plans import n2_queries, plane_queries  # noqa: F401
+from planeweave.plans import n2_queries, plane_queries, triage_queries  # noqa: F401
 from planeweave.plans.registry import QUERIES, SQL  # noqa: F401

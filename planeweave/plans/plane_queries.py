@@ -226,13 +226,13 @@ def _(spark, d):
 
 @query("c3_sbi_request_link", "SELECT run_id, msg_no, flow_id FROM sbireqlink")
 def _(spark, d):
-    return correlate.link_requests(sbi_messages(spark, d), _visible(spark, d)).select(
-        "run_id", "msg_no", "flow_id")
+    known = correlate.sbi_with_flow(sbi_messages(spark, d), _visible(spark, d))
+    return correlate.links(known.filter("direction = 'request'"))
 
 
 @query("c4_sbi_response_inheritance", "SELECT run_id, msg_no, flow_id FROM sbilink")
 def _(spark, d):
-    return correlate.link_sbi(sbi_messages(spark, d), _visible(spark, d))
+    return correlate.links(correlate.sbi_with_flow(sbi_messages(spark, d), _visible(spark, d)))
 
 
 @query("c5_n4_link", "SELECT run_id, msg_no, flow_id FROM n4link")
@@ -250,16 +250,15 @@ def _(spark, d):
 
 
 @query("c7_procedure_flow_id", """SELECT 'sbi' AS plane, p.run_id, p.req_no, l.flow_id
-    FROM sbiproc p LEFT JOIN sbilink l ON l.run_id = p.run_id AND l.msg_no = p.req_no UNION ALL
+    FROM sbiproc p JOIN sbilast q USING (run_id, conn, stream_id)
+    LEFT JOIN sbilink l ON l.run_id = p.run_id AND l.msg_no = q.msg_no UNION ALL
     SELECT 'n4', p.run_id, p.req_no, coalesce(q.flow_id, r.flow_id) FROM n4proc p
     LEFT JOIN n4link q ON q.run_id = p.run_id AND q.msg_no = p.req_no
     LEFT JOIN n4link r ON r.run_id = p.run_id AND r.msg_no = p.rsp_no""")
 def _(spark, d):
-    visible, http_msgs, n4 = _visible(spark, d), sbi_messages(spark, d), b.n4(spark, d)
-    http_procs = correlate.procedure_flow(
-        sbi.pair_procedures(http_msgs), correlate.link_sbi(http_msgs, visible), False)
-    n4_procs = correlate.procedure_flow(
-        pfcp.pair_procedures(n4), correlate.link_n4(n4, visible), True)
+    visible = _visible(spark, d)
+    http_procs = sbi.pair_procedures(correlate.sbi_with_flow(sbi_messages(spark, d), visible))
+    n4_procs = pfcp.pair_procedures(correlate.n4_with_flow(b.n4(spark, d), visible))
     cols = ["run_id", "req_no", "flow_id"]
     return http_procs.select(F.lit("sbi").alias("plane"), *cols).unionByName(
         n4_procs.select(F.lit("n4").alias("plane"), *cols))
@@ -296,9 +295,7 @@ oracle.block("k3est", """SELECT l.run_id, l.flow_id, min(m.ts) AS t, min(m.dst_i
     FROM ({K3_GAPS}) GROUP BY 1""")
 def _(spark, d):
     visible, http_msgs, n4 = _visible(spark, d), sbi_messages(spark, d), b.n4(spark, d)
-    means = kpi.cross_plane_kpis(
-        visible,
-        correlate.with_flow(http_msgs, correlate.link_sbi(http_msgs, visible)),
-        correlate.with_flow(n4, correlate.link_n4(n4, visible)))
+    means = kpi.cross_plane_kpis(visible, correlate.sbi_with_flow(http_msgs, visible),
+                                 correlate.n4_with_flow(n4, visible))
     return means.select("run_id", *[F.round(c, 3).alias(c) for c in (
         "sbi_to_n4_ms", "n4_to_n2_ms", "sbi_to_n2_ms")])
