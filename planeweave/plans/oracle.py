@@ -27,7 +27,10 @@ def statement(select: str) -> str:
     visit(select)
     if not ordered:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in ordered) + "\n" + select
+    blocks = "WITH " + ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in ordered)
+    if select.lstrip().startswith("WITH "):
+        return blocks + ",\n" + select.lstrip()[len("WITH "):]
+    return blocks + "\n" + select
 
 
 block("ev", b.EV_SQL)
