@@ -28,7 +28,7 @@ def text_of(*parts: Column | str) -> Column:
 
 def normalize_space(text: Column) -> Column:
     """Collapse white space but keep tabs; lines are joined by a blank."""
-    lines = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
+    lines = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
     squeezed = F.transform(lines, lambda s: F.regexp_replace(s, r"(?U)[^\S\t]+", " "))
     last = F.element_at(squeezed, -1)
     kept = F.when(last == "", F.slice(squeezed, 1, F.size(squeezed) - 1)).otherwise(squeezed)
