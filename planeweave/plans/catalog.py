@@ -1,6 +1,7 @@
 """Importing the query modules fills the registry."""
 
 from planeweave.plans import (  # noqa: F401
-    corpus_queries, n2_queries, packet_queries, plane_queries, result_queries,
+    corpus_queries, graph_queries, n2_queries, packet_queries, plane_queries,
+    result_queries,
     triage_queries)
 from planeweave.plans.registry import QUERIES, SQL  # noqa: F401
