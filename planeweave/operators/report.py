@@ -185,7 +185,7 @@ def spec_context(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     key = ["run_id", "incident_no"]
     firsts = asked.filter(F.col("entity_id").isNotNull()).groupBy(*key, "entity_id").agg(
         F.min("ask_no").alias("ask_no"))
-    shown = top_rows(firsts, key, ["ask_no"], SPEC_CAP, "line_no").join(blocks, "entity_id")
+    shown = top_rows(firsts, key, ["ask_no", "entity_id"], SPEC_CAP, "line_no").join(blocks, "entity_id")
     more = firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") > SPEC_CAP).select(*key, F.lit(SPEC_CAP + 1).cast("long").alias("line_no"),
                                       text_of("… and ", (F.col("n") - SPEC_CAP).cast("string"),

@@ -2,6 +2,6 @@
 
 from planeweave.plans import (  # noqa: F401
     corpus_queries, graph_queries, n2_queries, packet_queries, plane_queries,
-    result_queries,
+    result_queries, source_queries,
     triage_queries)
 from planeweave.plans.registry import QUERIES, SQL  # noqa: F401

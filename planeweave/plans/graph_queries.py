@@ -97,7 +97,7 @@ block("entcause", """SELECT DISTINCT * FROM (SELECT spec, proto || ' cause #' ||
         WHERE clause <> '9.7') UNION ALL
     SELECT spec, 'PFCP cause #' || CAST(cells[2] AS BIGINT), clause, 'cause:29244:8.2.1:'
       || CAST(cells[2] AS BIGINT), 'PFCP', cells[3], CAST(cells[2] AS BIGINT) FROM celled
-      WHERE spec = '29244' AND clause = '8.2.1' AND regexp_matches(cells[2], '^\\d+$') UNION ALL
+      WHERE spec = '29244' AND clause = '8.2.1' AND len(cells) = 4 AND regexp_matches(cells[2], '^\\d+$') UNION ALL
     SELECT spec, 'NGAP cause "' || label || '"', clause, 'cause:38413:9.3.1.2:Radio:' || label,
       'NGAP', label, NULL FROM (SELECT spec, clause, trim(unnest(string_split(
         regexp_extract(extra, 'ENUMERATED \\((.*?)\\)', 1), ','))) AS label FROM celled
@@ -339,7 +339,7 @@ _ITEM = ["CAST('run0' AS STRING) AS run_id", "l_orderkey AS incident_no",
     m AS (SELECT message, arg_min(id, (-length(key), key)) AS id FROM (SELECT DISTINCT message
         FROM items) x JOIN entkey e ON contains({_KEY.format(x='x.message')}, e.key) GROUP BY 1),
     a AS (SELECT incident_no, ask_no, arg_min(c.id, c.id) AS id FROM q JOIN entcause c
-        ON c.value = q.v AND c.protocol = q.p GROUP BY 1, 2 UNION ALL
+        ON c.value = q.v AND c.protocol = q.p GROUP BY 1, 2, q.p, q.v UNION ALL
       SELECT incident_no, ask_no, m.id FROM q JOIN m USING (message)),
     f AS (SELECT incident_no, id, min(ask_no) AS ask_no FROM a GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY incident_no ORDER BY ask_no, id) AS rk,

@@ -428,7 +428,7 @@ _CITED = [
     + " END AS message",
     """CAST(CASE l_partkey % 6 WHEN 0 THEN 91 WHEN 1 THEN 67 WHEN 2 THEN 90
          WHEN 3 THEN 3 + l_partkey % 7 END AS INT) AS cause""",
-    "CASE WHEN l_quantity < 3 THEN NULL ELSE floor(l_quantity / 10) + 0.5 END AS ts"]
+    "CAST(CASE WHEN l_quantity < 3 THEN NULL ELSE floor(l_quantity / 10) + 0.5 END AS DOUBLE) AS ts"]
 _ORDER = ["o_orderkey", _TYPE,
           "CASE WHEN o_custkey % 50 = 0 THEN '' ELSE o_orderpriority END AS narrative"]
 block("epcite", f"SELECT {', '.join(_CITED)} FROM lineitem")

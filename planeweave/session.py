@@ -40,14 +40,20 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` to the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share.
 
     The cluster's `spark.checkpoint.dir` is used when it is set; only a session
     without one (a test) gets a folder of its own.
     """
-    spark = df.sparkSession
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="planeweave-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="planeweave-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` to the shared folder, so later steps start from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
