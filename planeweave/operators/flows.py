@@ -287,8 +287,21 @@ def visible_messages(messages: DataFrame, split: Split = None,
 
 def analyze(messages: DataFrame, split: Split = None, run_split: Split = None
             ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages with flows and visible payloads, the flow table, the procedures."""
+    """Messages with flows and visible payloads, the flow table, the procedures.
+
+    All three come from the message table, which is written once for them.
+    """
     if split is None or run_split is None:
         split, run_split = measure(key_messages(messages))
     visible = visible_messages(messages, split, run_split)
+    if not split:
+        visible = cut_lineage(visible)
     return visible, flow_attributes(visible), procedures(visible, split)
+
+
+def analyze_procedures(messages: DataFrame, split: Split = None,
+                       run_split: Split = None) -> DataFrame:
+    """The procedures alone, in one pass."""
+    if split is None or run_split is None:
+        split, run_split = measure(key_messages(messages))
+    return procedures(visible_messages(messages, split, run_split), split)

@@ -53,19 +53,19 @@ _PROC = ["run_id", "flow_id", "kind", "start_ts", "start_msg", "start_no", "end_
 
 @query("n6_nas_procedures", f"SELECT {', '.join(_PROC)} FROM n2nasproc")
 def _(spark, d):
-    visible, _, procs = flows.analyze(b.n2(spark, d))
+    procs = flows.analyze_procedures(b.n2(spark, d))
     return procs.filter(F.col("source") == 0).select(*_PROC)
 
 
 @query("n7_carrier_fallback", f"SELECT {', '.join(_PROC)} FROM n2fallback")
 def _(spark, d):
-    _, _, procs = flows.analyze(b.n2(spark, d))
+    procs = flows.analyze_procedures(b.n2(spark, d))
     return procs.filter(F.col("source") == 1).select(*_PROC)
 
 
 @query("n8_procedure_union", f"SELECT {', '.join(_PROC)}, proc_no FROM n2proc")
 def _(spark, d):
-    _, _, procs = flows.analyze(b.n2(spark, d))
+    procs = flows.analyze_procedures(b.n2(spark, d))
     return procs.select(*_PROC, "proc_no")
 
 
@@ -112,7 +112,7 @@ def _(spark, d):
     CASE WHEN end_ts IS NOT NULL AND end_ts <> 0
       THEN round((end_ts - start_ts) * 1000.0, 3) END AS duration_ms FROM n2proc""")
 def _(spark, d):
-    _, _, procs = flows.analyze(b.n2(spark, d))
+    procs = flows.analyze_procedures(b.n2(spark, d))
     return flows.with_duration(procs).select(
         "run_id", "flow_id", "proc_no", "kind", "outcome",
         F.round("duration_ms", 3).alias("duration_ms"))

@@ -9,6 +9,7 @@ from planeweave.operators import correlate, flows, kpi, pfcp, sbi
 from planeweave.plans import bridges as b
 from planeweave.plans import oracle
 from planeweave.plans.registry import query
+from planeweave.session import cut_lineage
 
 
 @query("p1_kind_lookup", """SELECT run_id, msg_no, coalesce(req_kind, rsp_kind) AS kind,
@@ -200,7 +201,8 @@ def _(spark, d):
 
 
 def _visible(spark, d):
-    return flows.visible_messages(b.n2(spark, d))
+    """The flow messages, written once for the steps that read them."""
+    return cut_lineage(flows.visible_messages(b.n2(spark, d)))
 
 
 @query("c1_claims", """SELECT run_id, supi AS key, flow_id FROM supiclaim UNION ALL

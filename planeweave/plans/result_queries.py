@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planeweave.functions.scan import position, scan
-from planeweave.operators import evaluate, evidence, flows, incidents, pfcp, report
+from planeweave.operators import evaluate, evidence, flows, incidents, kpi, pfcp, report
 from planeweave.operators.incidents import INCIDENT_TYPES
 from planeweave.plans import bridges as b
 from planeweave.plans.n2_queries import run_kpis
@@ -13,6 +13,7 @@ from planeweave.plans.oracle import block
 from planeweave.plans.plane_queries import sbi_messages
 from planeweave.plans.registry import query
 from planeweave.plans.triage_queries import citations, located_names, union_of_planes
+from planeweave.session import cut_lineage
 
 # Entries: one per order; hypotheses: one per line item, with raw scores.
 _TYPES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(INCIDENT_TYPES))
@@ -301,9 +302,8 @@ def _(spark, d):
     return report.kpi_line(kpis)
 
 
-def report_results(spark, d):
+def report_results(visible, table, procs):
     """Every incident as a result; its first message is the cited evidence."""
-    visible, table, procs = flows.analyze(b.n2(spark, d))
     cases = incidents.classify_flows(incidents.flow_cases(visible, table, procs))
     first = visible.select("run_id", F.col("msg_no").alias("source_no"), F.col("ngap"), "ts")
     numbered = scan(cases, ["run_id"], "source_no", incident_no=position())
@@ -322,8 +322,9 @@ def report_results(spark, d):
 
 @query("w7_report_assembly")
 def _(spark, d):
-    visible, table, _ = flows.analyze(b.n2(spark, d))
-    results = report_results(spark, d)
+    visible, table, procs = flows.analyze(b.n2(spark, d))
+    procs = cut_lineage(procs)
+    results = cut_lineage(report_results(visible, table, procs))
     cites = results.filter(F.col("cited_evidence").isNotNull()).select(
         "run_id", "incident_no", F.posexplode("cited_evidence").alias("line_no", "e")).select(
         F.concat_ws("/", "run_id", "incident_no", "line_no").alias("cite_id"), "run_id",
@@ -332,6 +333,6 @@ def _(spark, d):
     shown = evidence.locate(evidence.ground(cites, evidence.inventory(names)), names).select(
         "run_id", "incident_no", "line_no", report.evidence_line(F.col("grounded")).alias("text"))
     timeline = report.flow_timeline(evidence.numbered(visible, ["run_id", "flow_id"]), table)
-    return report.assemble(results, shown, timeline, run_kpis(spark, d))
+    return report.assemble(results, shown, timeline, kpi.run_kpis(procs, table))
 
 

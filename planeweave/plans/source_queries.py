@@ -15,7 +15,7 @@ from planeweave.plans.n2_queries import RUN_KPIS, run_kpis
 from planeweave.plans.plane_queries import K3_GAPS, sbi_messages
 from planeweave.plans.registry import query
 from planeweave.plans.triage_queries import episodes
-from planeweave.session import shared_folder
+from planeweave.session import cut_lineage, shared_folder
 from planeweave.sources import episodes as store
 from planeweave.sources import exports
 
@@ -82,7 +82,7 @@ def _(spark, d):
 @query("s3_n4_export", """SELECT m.run_id, m.msg_no, m.name, m.cause, m.cause_code, l.flow_id
     FROM n4b m LEFT JOIN n4link l USING (run_id, msg_no)""")
 def _(spark, d):
-    visible = flows.visible_messages(b.n2(spark, d))
+    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     return exports.n4_records(correlate.n4_with_flow(b.n4(spark, d), visible)).select(
         "run_id", "msg_no", "name", "cause", "cause_code", "flow_id")
 
@@ -90,7 +90,7 @@ def _(spark, d):
 @query("s4_sbi_export", """SELECT m.run_id, m.msg_no, m.name AS service, m.name, m.path, m.status,
     l.flow_id FROM sbimsg m LEFT JOIN sbilink l USING (run_id, msg_no)""")
 def _(spark, d):
-    visible = flows.visible_messages(b.n2(spark, d))
+    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     linked = correlate.sbi_with_flow(sbi_messages(spark, d), visible)
     return exports.sbi_records(linked.withColumn("body_len", F.lit(0).cast("long"))).select(
         "run_id", "msg_no", "service", "name", "path", "status", "flow_id")
@@ -116,7 +116,7 @@ def _(spark, d):
 @query("s5_merged_kpis", f"""SELECT run_id, procedure_successes, round(avg(sbi_to_n4_ms), 3)
     AS sbi_to_n4_ms FROM ({RUN_KPIS}) LEFT JOIN ({K3_GAPS}) USING (run_id) GROUP BY 1, 2""")
 def _(spark, d):
-    visible = flows.visible_messages(b.n2(spark, d))
+    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     cross = kpi.cross_plane_kpis(
         visible, correlate.sbi_with_flow(sbi_messages(spark, d), visible),
         correlate.n4_with_flow(b.n4(spark, d), visible))

@@ -9,6 +9,7 @@ from planeweave.plans import bridges as b
 from planeweave.plans.oracle import block
 from planeweave.plans.plane_queries import sbi_messages
 from planeweave.plans.registry import query
+from planeweave.session import cut_lineage
 
 block("n2named", """SELECT *, coalesce(v_inner, v_name, ngap, '') AS shown,
     coalesce(v_inner, v_name, '') AS nas_shown FROM n2vis""")
@@ -73,8 +74,9 @@ def _cases(spark, d):
     return incidents.flow_cases(*flows.analyze(b.n2(spark, d)))
 
 
-def plane_procedures(spark, d):
-    visible = flows.visible_messages(b.n2(spark, d))
+def plane_procedures(spark, d, visible=None):
+    if visible is None:
+        visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     return (pfcp.pair_procedures(correlate.n4_with_flow(b.n4(spark, d), visible)),
             sbi.pair_procedures(correlate.sbi_with_flow(sbi_messages(spark, d), visible)))
 
@@ -112,9 +114,10 @@ def _(spark, d):
 
 
 def union_of_planes(spark, d, flow_id=None):
-    n4_procs, http_procs = plane_procedures(spark, d)
+    analysis = flows.analyze(b.n2(spark, d))
+    n4_procs, http_procs = plane_procedures(spark, d, analysis[0])
     return incidents.all_incidents(
-        incidents.n2_incidents(*flows.analyze(b.n2(spark, d))),
+        incidents.n2_incidents(*analysis),
         incidents.n4_incidents(n4_procs), incidents.sbi_incidents(http_procs), flow_id)
 
 
@@ -143,10 +146,11 @@ def _(spark, d):
     WHEN plane = 'n4' AND shape <> 'explicit reject' THEN 'n4_upf_timeout' END
     FROM (SELECT * FROM n4inc UNION ALL SELECT * FROM sbiinc)""")
 def _(spark, d):
-    n4_procs, http_procs = plane_procedures(spark, d)
+    analysis = flows.analyze(b.n2(spark, d))
+    n4_procs, http_procs = plane_procedures(spark, d, analysis[0])
     planes = incidents.n4_incidents(n4_procs).unionByName(incidents.sbi_incidents(http_procs))
     cols = ["run_id", "plane", "source_no", "incident_type"]
-    typed = incidents.classify_flows(_cases(spark, d)).withColumn("plane", F.lit("n2"))
+    typed = incidents.classify_flows(incidents.flow_cases(*analysis)).withColumn("plane", F.lit("n2"))
     return typed.select(*cols).unionByName(incidents.classify_planes(planes).select(*cols))
 
 
@@ -239,7 +243,7 @@ def _(spark, d):
          ELSE '-> ' || coalesce(CAST(status AS VARCHAR), '?') END FROM sbinum m JOIN sbilink l
       USING (run_id, msg_no)""")
 def _(spark, d):
-    visible = flows.visible_messages(b.n2(spark, d))
+    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     n4 = evidence.numbered(correlate.n4_with_flow(b.n4(spark, d), visible))
     http = evidence.numbered(correlate.sbi_with_flow(sbi_messages(spark, d), visible))
     return (evidence.flow_headers(flows.flow_attributes(visible))
@@ -327,7 +331,7 @@ _UNKNOWN = """'inspect_decoded_evidence: unrecognized handle "' || handle || '";
     LEFT JOIN loosenum l ON plane = 'unassociated' AND l.run_id = p.run_id AND l.i = x""")
 def _(spark, d):
     handles = b.ev(spark, d).selectExpr(*_HANDLES).distinct()
-    visible = flows.visible_messages(b.n2(spark, d))
+    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
     loose = evidence.numbered(flows.unassociated(b.n2(spark, d)))
     n4, http = _n4_numbered(spark, d), evidence.numbered(sbi_messages(spark, d))
     views = (evidence.n2_views(evidence.numbered(visible, ["run_id", "flow_id"]))
@@ -354,9 +358,9 @@ block("evname", """SELECT run_id, n AS name, ts, v_cause AS cause, 'n2' AS plane
 
 
 def located_names(spark, d):
-    return evidence.located_names(
+    return cut_lineage(evidence.located_names(
         flows.visible_messages(b.n2(spark, d)), flows.unassociated(b.n2(spark, d)),
-        b.n4(spark, d), sbi_messages(spark, d))
+        b.n4(spark, d), sbi_messages(spark, d)))
 
 
 @query("e4_message_inventory", """SELECT run_id, name, ts, cause FROM evname
