@@ -7,8 +7,26 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, decimals: int = 3) -> Column:
-    """A number with fixed decimals, rounded on its exact value."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * decimals))
+    """A number with fixed decimals, rounded on its exact binary value, ties to even.
+
+    The product with the power of ten is taken as a rounded part and its exact
+    error (the factor is short enough for both halves of the split number), so a
+    value next to a tie falls on its true side.
+    """
+    scale = float(10 ** decimals)
+    v = F.abs(value)
+    spread = v * 134217729.0
+    high = spread - (spread - v)
+    product = v * scale
+    error = (high * scale - product) + (v - high) * scale
+    whole = F.floor(product)
+    over = ((product - whole) - 0.5) + error
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    n = whole + F.when(up, 1).otherwise(0)
+    unit = int(scale)
+    return F.concat(
+        F.when(value < 0, "-").otherwise(""), F.floor(n / unit).cast("long").cast("string"),
+        F.lit("."), F.lpad((n % unit).cast("string"), decimals, "0"))
 
 
 def or_mark(value: Column, mark: str = "?") -> Column:
