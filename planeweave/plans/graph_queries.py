@@ -268,12 +268,12 @@ def _vectors(spark, d, ident):
 
 
 @query("r1_cosine_similarity", """SELECT a.vec_id AS query_id, z.vec_id AS chunk_id,
-    round(list_cosine_similarity(a.v, z.v), 6) AS score FROM vec a, vec z
-    WHERE list_cosine_similarity(a.v, z.v) > 0""")
+    round(list_cosine_similarity(a.v, z.v), 6) AS score, row_number() OVER (PARTITION BY a.vec_id
+      ORDER BY list_cosine_similarity(a.v, z.v) DESC, z.vec_id) AS rank FROM vec a, vec z
+    WHERE list_cosine_similarity(a.v, z.v) > 0 QUALIFY rank <= 10""")
 def _(spark, d):
-    found = retrieval.scored(_vectors(spark, d, "query_id"), _vectors(spark, d, "chunk_id"),
-                             everything=True)
-    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    found = retrieval.nearest(_vectors(spark, d, "query_id"), _vectors(spark, d, "chunk_id"), 10)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("r2_phrase_bonus", """SELECT query_id, chunk_id FROM bestrun JOIN texts
@@ -311,14 +311,23 @@ def _(spark, d):
         "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("r5_hybrid_answer")
+@query("r5_hybrid_answer", f"""SELECT q.item_id AS query_id, n.hits, e.entity_id FROM benchmark q
+    JOIN vec ON vec_id = q.item_id
+    JOIN (SELECT a.vec_id, least(count(*) FILTER (list_cosine_similarity(a.v, t.v)
+        + CASE WHEN p.phrase IS NOT NULL AND contains(t.lowered, p.phrase) THEN 0.15 ELSE 0 END > 0),
+        5) AS hits FROM vec a CROSS JOIN vtexts t LEFT JOIN vbest p ON p.query_id = a.vec_id
+      WHERE a.vec_id IN (SELECT item_id FROM benchmark) GROUP BY 1) n ON n.vec_id = q.item_id
+    LEFT JOIN (SELECT item_id, arg_min(id, (-length(key), key)) AS entity_id FROM benchmark b
+      JOIN entkey k ON contains({_KEY.format(x='b.text')}, k.key)
+      WHERE NOT regexp_matches(b.text, '(?i)cause') GROUP BY 1) e ON e.item_id = q.item_id""")
 def _(spark, d):
     queries, docs = _hybrid(spark, d)
     rows = chunks(spark, d)
     table = cut_lineage(graph.entities(rows))
     blocks = graph.entity_blocks(table, graph.neighbours(_edges(rows, table), table))
     return retrieval.answers(queries, retrieval.search(queries, docs),
-                             graph.resolve(queries, table), blocks, table, docs)
+                             graph.resolve(queries, table), blocks, table, docs).select(
+        "query_id", "hits", "entity_id")
 
 
 # Cited items of incidents: one incident per order, its line items the citations.

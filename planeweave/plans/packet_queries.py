@@ -163,29 +163,41 @@ def _(spark, d):
         F.col("inside"), F.col("carrier")).alias("cause"))
 
 
-_TUNNEL = """l_partkey AS teid, '10.0.' || CAST(l_suppkey % 200 AS STRING) || '.1' AS ip"""
+_T1 = "l_partkey || '@10.0.' || l_suppkey % 200 || '.1'"
+_T2 = "l_suppkey || '@10.1.' || l_partkey % 200 || '.1'"
 
 
-@query("n12_n2_tunnels", """SELECT l_orderkey, string_agg(t, ',' ORDER BY t) AS tunnels FROM (
-    SELECT l_orderkey, l_partkey || '@10.0.' || l_suppkey % 200 || '.1' AS t FROM lineitem
-    WHERE (l_returnflag = 'A' AND l_linenumber IN (1, 2) OR l_returnflag <> 'A')
-      AND l_partkey % 10 > 0 AND l_suppkey % 10 > 0) GROUP BY 1""")
+def _address(net: str, number):
+    return F.concat(F.lit(net), (number % 200).cast("string"), F.lit(".1"))
+
+
+def _listed(tunnels):
+    return F.array_join(F.array_sort(F.transform(tunnels, lambda t: F.concat(
+        t.teid.cast("string"), F.lit("@"), t.ip))), ",")
+
+
+@query("n12_n2_tunnels", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+    concat_ws(',', CASE WHEN a <= z THEN a ELSE coalesce(z, a) END,
+      CASE WHEN a <= z THEN z WHEN z IS NOT NULL THEN a END) AS tunnels FROM (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+      CASE WHEN l_partkey % 10 > 0 AND (l_returnflag <> 'A' OR l_linenumber <= 3) THEN {_T1} END
+        AS a,
+      CASE WHEN l_suppkey % 10 > 0 AND l_returnflag <> 'A' THEN {_T2} END AS z FROM lineitem)""")
 def _(spark, d):
-    """An order is a message, its line items the set-up items."""
-    item = F.struct(
-        F.when(F.col("l_linenumber") <= 2, 139).otherwise(F.col("l_linenumber")).alias("id"),
-        F.when(F.col("l_partkey") % 10 > 0, F.col("l_partkey")).alias("teid"),
-        F.when(F.col("l_suppkey") % 10 > 0, F.concat(
-            F.lit("10.0."), (F.col("l_suppkey") % 200).cast("string"), F.lit(".1"))).alias("ip"))
+    """A line item is a message with two tunnels, asked for or answered."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
     asked = F.col("l_returnflag") == "A"
-    grouped = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.when(asked, F.array(item))).alias("req"),
-        F.collect_list(F.when(~asked, F.array(F.struct(item.teid.alias("teid"),
-                                                       item.ip.alias("ip"))))).alias("rsp"))
-    listed = F.transform(codes.n2_tunnels(F.col("req"), F.col("rsp")), lambda t: F.concat(
-        t.teid.cast("string"), F.lit("@"), t.ip))
-    return grouped.select("l_orderkey", F.array_join(F.array_sort(listed), ",").alias("tunnels")
-                          ).filter(F.col("tunnels") != "")
+    one = F.when(part % 10 > 0, part), _address("10.0.", supp)
+    two = supp, F.when(supp % 10 > 0, _address("10.1.", part))
+    element = F.when(F.col("l_linenumber") <= 3, 139).otherwise(F.col("l_linenumber"))
+    items = F.array(F.array(
+        F.struct(element.alias("id"), one[0].alias("teid"), one[1].alias("ip")),
+        F.struct(F.lit(134).alias("id"), two[0].alias("teid"), two[1].alias("ip"))))
+    answers = F.array(F.array(F.struct(one[0].alias("teid"), one[1].alias("ip"))),
+                      F.array(F.struct(two[0].alias("teid"), two[1].alias("ip"))))
+    return b.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        _listed(codes.n2_tunnels(F.when(asked, items), F.when(~asked, answers))).alias("tunnels"))
 
 
 @query("n13_ip_rendering", """SELECT o_orderkey, CASE o_orderkey % 3
@@ -206,12 +218,11 @@ def _(spark, d):
     return b.table(spark, d, "orders").select("o_orderkey", codes.ip_text(raw).alias("ip"))
 
 
-@query("p6_tunnel_key_selection", """SELECT l_orderkey, string_agg(t, ',' ORDER BY t) AS tunnels
-    FROM (SELECT l_orderkey, l_partkey || '@10.0.' || l_suppkey % 200 || '.1' AS t FROM lineitem
-    WHERE l_partkey % 10 > 0 AND (l_linenumber = 1 OR (l_linenumber = 2 AND l_linestatus = 'O')))
-    GROUP BY 1""")
+@query("p6_tunnel_key_selection", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    l_quantity, CASE WHEN l_partkey % 10 > 0 AND (l_linenumber = 1 OR (l_linenumber = 2
+      AND l_linestatus = 'O')) THEN {_T1} ELSE '' END AS tunnels FROM lineitem""")
 def _(spark, d):
-    """An order is a message, its line items the decoded elements."""
+    """A line item is a message; its line number says which element carries the key."""
     n = F.col("l_linenumber")
     path = (F.when(n == 1, F.array(F.lit(8), F.lit(21)))
             .when(n == 2, F.array(F.lit(10), F.lit(11), F.lit(84)))
@@ -219,14 +230,10 @@ def _(spark, d):
             .otherwise(F.array(F.lit(3), F.lit(4), F.lit(84))))
     ie = F.struct(path.alias("path"), (F.col("l_linestatus") == "O").alias("gtp"),
                   F.when(F.col("l_partkey") % 10 > 0, F.col("l_partkey")).alias("teid"),
-                  F.concat(F.lit("10.0."), (F.col("l_suppkey") % 200).cast("string"), F.lit(".1"))
-                  .alias("ip"))
-    grouped = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(ie).alias("ies"))
-    listed = F.transform(codes.n4_tunnels(F.col("ies")), lambda t: F.concat(
-        t.teid.cast("string"), F.lit("@"), t.ip))
-    return grouped.select("l_orderkey", F.array_join(F.array_sort(listed), ",").alias("tunnels")
-                          ).filter(F.col("tunnels") != "")
+                  _address("10.0.", F.col("l_suppkey")).alias("ip"))
+    return b.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        _listed(codes.n4_tunnels(F.array(ie))).alias("tunnels"))
 
 
 @query("p7_evidence_fields", f"""SELECT o_orderkey, CASE WHEN x NOT LIKE '%B%'

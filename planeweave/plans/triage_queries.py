@@ -215,8 +215,8 @@ def _n4_numbered(spark, d):
     return evidence.numbered(pfcp.flag_retransmits(b.n4(spark, d)))
 
 
-@query("e1_flow_listing", """SELECT run_id, 'flows' AS handle, flow_id AS line_no, '  flow '
-    || flow_id || ': ' || CASE WHEN partial THEN 'partial' ELSE 'complete' END || ', ' || messages
+@query("e1_flow_listing", """SELECT run_id, 'flows' AS handle, flow_id AS line_no,
+    CAST(0 AS BIGINT) AS part, '  flow ' || flow_id || ': ' || CASE WHEN partial THEN 'partial' ELSE 'complete' END || ', ' || messages
     || ' message(s)' || coalesce(', ' || procs, '') AS text FROM n2attr LEFT JOIN
     (SELECT run_id, flow_id, string_agg(kind || ': ' || outcome || ', '
       || printf('%.1f', (end_ts - start_ts) * 1000.0) || ' ms (' || start_msg || ' -> ' || end_msg
@@ -426,16 +426,25 @@ _TYPE = "CASE o_orderkey % 10 " + " ".join(
 _NAMES = ["InitialUEMessage", "5GMMRegistrationReject", "5GMMRegistrationRequest",
           "UplinkNASTransport", "5GSMPDUSessionEstabReject", "5GMMStatus", "Nudm_SDM",
           "PFCP Session Establishment Request", "5GSMPDUSessionEstabRequest", "Paging"]
-_CITED = [
-    "l_orderkey AS o_orderkey",
-    "CASE l_suppkey % 10 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES))
-    + " END AS message",
-    """CAST(CASE l_partkey % 6 WHEN 0 THEN 91 WHEN 1 THEN 67 WHEN 2 THEN 90
-         WHEN 3 THEN 3 + l_partkey % 7 END AS INT) AS cause""",
-    "CAST(CASE WHEN l_quantity < 3 THEN NULL ELSE floor(l_quantity / 10) + 0.5 END AS DOUBLE) AS ts"]
+# Up to three cited items per order, each from the order's own columns.
 _ORDER = ["o_orderkey", _TYPE,
           "CASE WHEN o_custkey % 50 = 0 THEN '' ELSE o_orderpriority END AS narrative"]
-block("epcite", f"SELECT {', '.join(_CITED)} FROM lineitem")
+
+
+def _cited(j: int) -> dict[str, str]:
+    return {
+        "present": ["o_orderkey % 11 <> 0", "o_custkey % 3 > 0", "o_custkey % 4 = 0"][j],
+        "message": f"CASE (o_custkey + o_orderkey * {j + 1}) % 10 " + " ".join(
+            f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END",
+        "cause": f"""CAST(CASE (o_orderkey + {j} * o_custkey) % 6 WHEN 0 THEN 91 WHEN 1 THEN 67
+            WHEN 2 THEN 90 WHEN 3 THEN 3 + o_custkey % 7 END AS INT)""",
+        "ts": f"""CAST(CASE WHEN (o_custkey + {j}) % 17 = 0 THEN NULL
+            ELSE (o_orderkey * {j + 3}) % 4 + 0.5 END AS DOUBLE)"""}
+
+
+block("epcite", " UNION ALL ".join(
+    f"SELECT o_orderkey, {c['message']} AS message, {c['cause']} AS cause, {c['ts']} AS ts "
+    f"FROM orders WHERE {c['present']}" for c in map(_cited, range(3))))
 block("epall", f"""SELECT {', '.join(_ORDER)}, epoch_us(o_orderdate) AS created_us, o_orderdate
     AS created_at FROM orders""")
 block("epvalid", """SELECT * FROM epall WHERE incident_type <> 'other' AND narrative <> ''
@@ -443,12 +452,12 @@ block("epvalid", """SELECT * FROM epall WHERE incident_type <> 'other' AND narra
 
 
 def episodes(spark, d):
-    """Line items per order are few; they are the one array column of an episode."""
-    cited = b.table(spark, d, "lineitem").selectExpr(*_CITED).groupBy("o_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("message", "cause", "ts"))).alias("cited_evidence"))
-    orders = b.table(spark, d, "orders").selectExpr(
-        *_ORDER, "CAST(o_orderdate AS TIMESTAMP) AS created_at")
-    return orders.join(cited, "o_orderkey", "left")
+    items = ", ".join(
+        f"CASE WHEN {c['present']} THEN named_struct('message', {c['message']}, "
+        f"'cause', {c['cause']}, 'ts', {c['ts']}) END" for c in map(_cited, range(3)))
+    return b.table(spark, d, "orders").selectExpr(
+        *_ORDER, "CAST(o_orderdate AS TIMESTAMP) AS created_at",
+        f"array_sort(array_compact(array({items}))) AS cited_evidence")
 
 
 @query("m1_validation", "SELECT o_orderkey, incident_type FROM epvalid")

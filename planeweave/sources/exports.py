@@ -114,22 +114,24 @@ def n2_documents(messages: DataFrame, flows: DataFrame, procs: DataFrame,
                  split: Split = None) -> DataFrame:
     """Flow documents of the N2 export, in parts.
 
-    One row per (run, flow, part) with the flow's header, its messages in capture
-    order and, on part 0, its procedures; the parts of a flow put together are
-    the flow.
+    One row per (run, flow, part) with the flow's header and that part of its
+    messages and of its procedures, both in order; the parts of a flow put
+    together are the flow.
     """
     key = ["run_id", "flow_id"]
     placed = scan(messages, key, "msg_no", split=split, _i=position()).withColumn(
         "_i", F.col("_i") - 1)
     parts = placed.groupBy(*key, _part("_i").alias("part")).agg(
         _in_order("msg_no", n2_message_record()).alias("messages"))
-    closed = procs.groupBy(*key).agg(_in_order("proc_no", F.struct(*PROCEDURE)).alias("p"))
+    closed = procs.withColumn("_p", F.col("proc_no") - 1).groupBy(
+        *key, _part("_p").alias("part")).agg(
+        _in_order("proc_no", F.struct(*PROCEDURE)).alias("procedures"))
     head = flows.select(*key, F.col("ran_ue_id").alias("ran_ue_ngap_id"),
                         F.col("amf_ue_id").alias("amf_ue_ngap_id"), "partial")
-    none = F.array().cast(closed.schema["p"].dataType)
-    return parts.join(head, key).join(closed, key, "left").select(
+    none = F.array().cast(closed.schema["procedures"].dataType)
+    return parts.join(head, key).join(closed, [*key, "part"], "left").select(
         *key, "part", "ran_ue_ngap_id", "amf_ue_ngap_id", "partial", "messages",
-        F.when(F.col("part") == 0, F.coalesce("p", none)).otherwise(none).alias("procedures"))
+        F.coalesce("procedures", none).alias("procedures"))
 
 
 def unassociated_records(messages: DataFrame) -> DataFrame:
