@@ -320,7 +320,62 @@ def report_results(visible, table, procs):
         F.lit(True).alias("memory_wrote"))
 
 
-@query("w7_report_assembly")
+block("resultrow", """SELECT c.run_id, c.flow_id, c.procedure, c.detail, m.ngap, m.ts, m.src_ip,
+    m.dst_ip, row_number() OVER (PARTITION BY c.run_id ORDER BY c.source_no) AS incident_no,
+    count(*) OVER (PARTITION BY c.run_id) AS incidents, CASE
+      WHEN auth_failure THEN 'auth_failure' WHEN registration_reject THEN 'registration_reject'
+      WHEN slice_status THEN 'pdu_session_reject_slice'
+      WHEN session_reject THEN 'pdu_session_reject_other'
+      WHEN echoes > 1 AND echo_span >= 2 THEN 'pdu_session_timeout'
+      WHEN registration_request AND NOT registration_end AND shape LIKE '%timeout%'
+        THEN 'registration_timeout' END AS type
+    FROM n2case c JOIN n2vis m ON m.run_id = c.run_id AND m.msg_no = c.source_no""")
+_LAST = "CAST(1000000000 AS BIGINT)"
+
+
+def _lines(section: int, *texts: str) -> str:
+    """One SELECT per fixed line of every incident."""
+    return " UNION ALL ".join(
+        f"SELECT run_id, incident_no, {section} AS section, CAST({i} AS BIGINT) AS line_no, "
+        f"{t} AS text FROM resultrow" for i, t in enumerate(texts))
+
+
+@query("w7_report_assembly", f"""SELECT run_id, CAST(0 AS BIGINT) AS incident_no, 0 AS section,
+      CAST(unnest([0, 1, 2, 3, n + 4]) AS BIGINT) AS line_no,
+      unnest(['# Post-incident report — ' || n || ' incidents', '',
+        '| # | flow | hypothesis | reward | rollouts |',
+        '|---|------|------------|--------|----------|', '']) AS text
+      FROM (SELECT run_id, max(incidents) AS n FROM resultrow GROUP BY 1)
+    UNION ALL SELECT run_id, 0, 0, incident_no + 3, '| ' || incident_no || ' | ' || flow_id || ' | '
+      || coalesce(type, '—') || ' | 1.0 | 1 |' FROM resultrow
+    UNION ALL {_lines(0, "'## Incident ' || incident_no || ' — ' || coalesce(type, 'no hypothesis')"
+                      " || ' — flow ' || flow_id", "''")}
+    UNION ALL SELECT run_id, incident_no, 0, unnest([2, 3]), unnest(['**Incident detail:** '
+      || detail, '']) FROM resultrow WHERE detail <> ''
+    UNION ALL {_lines(1, "'### Root cause'", "CASE WHEN type IS NULL THEN 'No hypothesis: the LATS "
+                      "search completed no finalize.' ELSE 'Flow failed: ' || procedure END", "''")}
+    UNION ALL {_lines(2, "'### Evidence'")}
+    UNION ALL SELECT run_id, incident_no, 2, CASE WHEN type IS NULL THEN 1 ELSE 100 END,
+      CASE WHEN type IS NULL THEN '(none cited)' WHEN ngap IS NULL THEN '- [unverified] ? @ '
+        || {_TS} || 's' ELSE '- [verified] ' || ngap || {_n2_over('ngap')} || ' @ ' || {_TS} || 's'
+      END FROM resultrow
+    UNION ALL SELECT run_id, incident_no, 2, {_LAST}, '' FROM resultrow
+    UNION ALL {_lines(4, "'### Timeline (flow ' || flow_id || ')'")}
+    UNION ALL SELECT r.run_id, r.incident_no, 4, t.line_no + 100, t.text FROM resultrow r JOIN (
+      SELECT run_id, flow_id, i AS line_no, '[' || i || '] ' || {_TS} || 's  '
+        || coalesce(v_inner, v_name, ngap, '?') || {_n2_over('ngap')}
+        || coalesce('  cause #' || v_cause || ' (cause ' || v_cause || ')', '') AS text FROM n2num
+        WHERE i <= 50 UNION ALL SELECT run_id, flow_id, 51, '... (' || messages - 50
+        || ' more not shown)' FROM n2attr WHERE messages > 50) t
+      ON t.run_id = r.run_id AND t.flow_id = r.flow_id
+    UNION ALL {_lines(5, "''", "'### Capture KPIs'", "(SELECT 'procedure_successes: ' || "
+                      "count(CASE WHEN outcome = 'accept' THEN 1 END) || ' | procedure_failures: '"
+                      " || count(CASE WHEN outcome = 'reject' THEN 1 END) FROM n2proc p "
+                      "WHERE p.run_id = resultrow.run_id)")}
+    UNION ALL {_lines(6, "''", "'### Search path'",
+                      "'(trajectory not recorded in this results file)'")}
+    UNION ALL {_lines(7, "''", "'### Memory'", "CASE WHEN type IS NULL THEN 'no Episode written "
+                      "(no hypothesis)' ELSE 'new Episode written (' || type || ')' END", "''")}""")
 def _(spark, d):
     visible, table, procs = flows.analyze(b.n2(spark, d))
     procs = cut_lineage(procs)
@@ -333,6 +388,7 @@ def _(spark, d):
     shown = evidence.locate(evidence.ground(cites, evidence.inventory(names)), names).select(
         "run_id", "incident_no", "line_no", report.evidence_line(F.col("grounded")).alias("text"))
     timeline = report.flow_timeline(evidence.numbered(visible, ["run_id", "flow_id"]), table)
-    return report.assemble(results, shown, timeline, kpi.run_kpis(procs, table))
+    return report.assemble(results, shown, timeline, kpi.run_kpis(procs, table).select(
+        "run_id", "procedure_successes", "procedure_failures"))
 
 
