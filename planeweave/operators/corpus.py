@@ -176,7 +176,8 @@ def pack(body_units: DataFrame, max_chars: int = MAX_CHARS, split: Split = None)
     width = split_width(body_units, key, split)
     if width is None:
         return pieces.groupBy(*key).agg(_folded(ordered, max_chars).alias("bodies")).select(
-            *key, F.posexplode("bodies").alias("body_no", "body"))
+            *key, F.posexplode("bodies").alias("body_no", "body")).withColumn(
+            "body_no", F.col("body_no").cast("long"))
     numbered = body_numbers(pieces.withColumn("size", F.length("piece")), max_chars, width)
     return numbered.groupBy(*key, "body_no").agg(F.array_join(
         F.transform(ordered, lambda p: p.piece), "\n\n").alias("body"))

@@ -165,7 +165,7 @@ def _(spark, d):
         *_SPECS[:2], "chr(CAST(103 + doc_id % 4 AS INT)) || CAST(doc_id % 100 AS STRING) AS token")
     return corpus.build(units(spark, d), specs).select(
         "spec", "node_no", "body_no", "clause",
-        F.md5(F.encode("text", "UTF-8")).alias("text"), "chars")
+        F.md5(F.encode("text", "UTF-8")).alias("text"), F.col("chars").cast("long").alias("chars"))
 
 
 @query("x11_name_normalize", """SELECT p_partkey, regexp_replace(upper(p_name || ' (' || p_brand
