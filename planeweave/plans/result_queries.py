@@ -12,7 +12,7 @@ from planeweave.plans.n2_queries import run_kpis
 from planeweave.plans.oracle import block
 from planeweave.plans.plane_queries import sbi_messages
 from planeweave.plans.registry import query
-from planeweave.plans.triage_queries import citations, located_names, union_of_planes
+from planeweave.plans.incident_queries import citations, located_names, union_of_planes
 from planeweave.session import cut_lineage
 
 # Entries: one per order; hypotheses: one per line item, with raw scores.

@@ -14,7 +14,7 @@ from planeweave.plans.graph_queries import chunks
 from planeweave.plans.n2_queries import RUN_KPIS, run_kpis
 from planeweave.plans.plane_queries import K3_GAPS, sbi_messages
 from planeweave.plans.registry import query
-from planeweave.plans.triage_queries import episodes
+from planeweave.plans.incident_queries import episodes
 from planeweave.session import cut_lineage, shared_folder
 from planeweave.sources import episodes as store
 from planeweave.sources import exports
