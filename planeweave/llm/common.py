@@ -69,16 +69,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of `data` in order; words are runs free of ASCII blanks."""
+def word_hashes(data: bytes, blank_bytes: np.ndarray = BLANK) -> np.ndarray:
+    """64-bit hashes of the words of `data` in order; words are runs free of the marked bytes,
+    which are ASCII blanks by default."""
     if not data:
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
-    blank = _BLANK[raw]
+    blank = blank_bytes[raw]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
