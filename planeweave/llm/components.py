@@ -29,12 +29,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         before = (count, total)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written first, so that the join below deals both sides anew and a hub can be split.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         # Large step: neighbours above u go to the smallest node around u.
-        large = (both.where("v > u").join(least, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        large = stored(both.where("v > u").join(least, "u")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), name)
         # Small step: all smaller neighbours of u, and u itself, go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = (large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planeweave.llm import bbit, decontam, langid, mixing, sharding
+from planeweave.llm import bbit, decontam, langid, mixing, pii, sharding, toxicity
 from planeweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def language_id(spark, sf_dir):
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def minhash_dedup(spark, sf_dir):
     return bbit.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,12 +30,18 @@ def extendible_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_source_mixing": source_mixing,
     "op3_language_id": language_id,
+    "op4_personal_data": personal_data,
     "op5_minhash_dedup": minhash_dedup,
     "op6_sharding": extendible_sharding,
+    "op10_toxicity": toxicity_scores,
 }
 
 SQL = {
