@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planeweave.llm import bbit, decontam, langid, mixing, pii, sharding, toxicity
+from planeweave.llm import bbit, decontam, langid, mixing, pii, polytope, sharding, toxicity
 from planeweave.llm.common import table
 
 
@@ -30,6 +30,10 @@ def extendible_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def embedding_dedup(spark, sf_dir):
+    return polytope.duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_scores(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_personal_data": personal_data,
     "op5_minhash_dedup": minhash_dedup,
     "op6_sharding": extendible_sharding,
+    "op8_embedding_dedup": embedding_dedup,
     "op10_toxicity": toxicity_scores,
 }
 
