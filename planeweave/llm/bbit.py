@@ -24,7 +24,6 @@ BITS = 4                 # low bits kept of every minimum, one plane of HASHES b
 BANDS, BAND_ROWS = 25, 5
 MARGIN = 4.0             # standard deviations below the limit that still get confirmed
 BLOCK_BYTES = 16 << 20   # texts of a candidate cluster that one block of a task holds
-_SCALE = 1 << 20
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WEIGHTS = mixed(np.arange(1000, 1000 + BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -122,10 +121,10 @@ def _shingle_set(text: str, width: int) -> set:
     return set(zip(*(words[k:len(words) - width + 1 + k] for k in range(width))))
 
 
-def confirmed(texts, sig, counts, side, crossing: bool, width: int, percent: int):
+def confirmed(sig, counts, side, crossing: bool, percent: int, set_of):
     """Links (i, j) of one task that join what was apart: likely pairs first, each confirmed
-    on the whole sets, pairs that are joined already left out."""
-    n = len(texts)
+    on the whole sets that `set_of` gives, pairs that are joined already left out."""
+    n = len(sig)
     bits = np.frombuffer(b"".join(sig), np.uint64).reshape(n, -1)
     per_plane = bits.shape[1] // BITS
     least, first, second, value = least_estimate(percent), [], [], []
@@ -152,7 +151,7 @@ def confirmed(texts, sig, counts, side, crossing: bool, width: int, percent: int
             continue
         for k in (i, j):
             if k not in sets:
-                sets[k] = _shingle_set(texts[k], width)
+                sets[k] = set_of(k)
         both = len(sets[i] & sets[j])
         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             forest.union(i, j)
@@ -212,8 +211,9 @@ def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, pe
 
     def compare(group):
         group = group.drop_duplicates("rep")
-        found = confirmed(group["text"].tolist(), group["sig"].tolist(), group["n_shingles"].to_numpy(),
-                          group["own"].to_numpy(), group["low"].iat[0] != group["high"].iat[0], width, percent)
+        texts = group["text"].tolist()
+        found = confirmed(group["sig"].tolist(), group["n_shingles"].to_numpy(), group["own"].to_numpy(),
+                          group["low"].iat[0] != group["high"].iat[0], percent, lambda k: _shingle_set(texts[k], width))
         rep = group["rep"].to_numpy()
         return _frame([rep[i] for i, _ in found], [rep[j] for _, j in found])
 

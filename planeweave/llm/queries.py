@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planeweave.llm import bbit, decontam, langid, mixing, pii, polytope, sharding, toxicity
+from planeweave.llm import bbit, decontam, langid, lines, mixing, pii, polytope, quality, sharding, toxicity
 from planeweave.llm.common import table
 
 
@@ -30,6 +30,14 @@ def extendible_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def quality_scores(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark, sf_dir):
+    return lines.line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def embedding_dedup(spark, sf_dir):
     return polytope.duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +53,9 @@ QUERIES = {
     "op4_personal_data": personal_data,
     "op5_minhash_dedup": minhash_dedup,
     "op6_sharding": extendible_sharding,
+    "op7_quality": quality_scores,
     "op8_embedding_dedup": embedding_dedup,
+    "op9_line_dedup": line_dedup,
     "op10_toxicity": toxicity_scores,
 }
 
