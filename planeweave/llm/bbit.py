@@ -123,17 +123,22 @@ def _shingle_set(text: str, width: int) -> set:
 
 def confirmed(sig, counts, side, crossing: bool, percent: int, set_of):
     """Links (i, j) of one task that join what was apart: likely pairs first, each confirmed
-    on the whole sets that `set_of` gives, pairs that are joined already left out."""
-    n = len(sig)
-    bits = np.frombuffer(b"".join(sig), np.uint64).reshape(n, -1)
-    per_plane = bits.shape[1] // BITS
+    on the whole sets that `set_of` gives, pairs that are joined already left out.  Without
+    signatures all pairs of like size are likely."""
+    n = len(counts)
+    if sig is not None:
+        bits = np.frombuffer(b"".join(sig), np.uint64).reshape(n, -1)
+        per_plane = bits.shape[1] // BITS
     least, first, second, value = least_estimate(percent), [], [], []
     for i in range(n - 1):
-        apart = bits[i] ^ bits[i + 1:]
-        differ = apart[:, :per_plane]
-        for b in range(1, BITS):
-            differ = differ | apart[:, b * per_plane:(b + 1) * per_plane]
-        estimate = similarity(np.bitwise_count(differ).sum(axis=1))
+        if sig is None:
+            estimate = np.ones(n - 1 - i)
+        else:
+            apart = bits[i] ^ bits[i + 1:]
+            differ = apart[:, :per_plane]
+            for b in range(1, BITS):
+                differ = differ | apart[:, b * per_plane:(b + 1) * per_plane]
+            estimate = similarity(np.bitwise_count(differ).sum(axis=1))
         low = np.minimum(counts[i], counts[i + 1:])
         high = np.maximum(counts[i], counts[i + 1:])
         near = (estimate >= least) & (100 * low >= percent * high)

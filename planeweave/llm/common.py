@@ -17,6 +17,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings; Arrow batches are kept short because one row can be a long text."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Tables that several steps read are written out, so shuffle files can go with their query.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -43,6 +45,43 @@ def rows_of(it, *columns):
         yield tuple(batch.column(c).to_pylist() for c in columns)
 
 
+def grouped(df: DataFrame, keys: list[str], fn, schema) -> DataFrame:
+    """Rows that `fn` makes of each group, a dict of column lists.
+
+    For many small groups of bounded size: a task goes through its sorted rows and holds one
+    group at a time.
+    """
+    import pyarrow as pa
+
+    names = df.columns
+
+    def run(it):
+        held: dict[str, list] | None = None
+        for batch in it:
+            columns = {c: batch.column(c).to_pylist() for c in names}
+            at = list(zip(*(columns[k] for k in keys)))
+            cuts = [0, *(k for k in range(1, len(at)) if at[k] != at[k - 1]), len(at)]
+            made = []
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                part = {c: v[start:end] for c, v in columns.items()}
+                if held is not None and tuple(held[k][0] for k in keys) == at[start]:
+                    for c in names:
+                        held[c] += part[c]
+                    continue
+                if held is not None:
+                    made += fn(held)
+                held = part
+            if made:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in made], schema=schema)
+        made = fn(held) if held is not None else []
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in made], schema=schema)
+
+    ddl = ", ".join(f"{f.name} {'long' if f.type == 'int64' else 'double'}" for f in schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+
+
 # Hashing of words in numpy.  A word's value is its polynomial hash, so that one running
 # sum over the bytes of a text gives the hash of every word.
 _P = 0x9E3779B97F4A7C15 | 1
