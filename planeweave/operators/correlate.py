@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planeweave.functions.scan import Split, split_width
 
@@ -86,11 +87,12 @@ def n4_with_flow(n4: DataFrame, flow_messages: DataFrame) -> DataFrame:
 def flow_refs(links: DataFrame, part_rows: int = 100_000) -> DataFrame:
     """Sorted message numbers per flow.
 
-    A flow may own any number of messages, so its list comes in parts of message
-    ranges: `refs` of part 0, 1, ... put together are the whole list.
+    A flow may own any number of messages, so its list comes in parts of so many
+    entries: `refs` of part 0, 1, ... put together are the whole list.
     """
-    part = F.floor(F.col("msg_no") / part_rows).cast("long")
-    return links.groupBy("run_id", "flow_id", part.alias("part")).agg(
+    place = F.row_number().over(Window.partitionBy("run_id", "flow_id").orderBy("msg_no"))
+    part = F.floor((F.col("place") - 1) / part_rows).cast("long")
+    return links.withColumn("place", place).groupBy("run_id", "flow_id", part.alias("part")).agg(
         F.array_sort(F.collect_list("msg_no")).alias("refs"))
 
 

@@ -14,13 +14,13 @@ from planeweave.plans.registry import query
 _N = "CAST(floor(unit_no / 5) AS BIGINT)"
 _TOKEN = f"""CASE WHEN {_N} % 11 = 10 THEN 'Annex B (informative)'
     WHEN {_N} % 7 = 5 THEN 'Notes'
-    WHEN {_N} % 13 = 12 THEN '9.9' || chr(9) || substr(line, 1, 30)
+    WHEN {_N} % 13 = 12 THEN '9.9' || chr(9) || line
     WHEN {_N} % 17 = 16 THEN '3' || chr(9) || 'Contents'
     ELSE CAST(1 + CAST(floor({_N} / 6) AS BIGINT) AS STRING)
       || CASE WHEN {_N} % 6 >= 2 THEN '.' || CAST(CAST(floor(({_N} % 6) / 2) AS BIGINT) AS STRING)
          ELSE '' END
       || CASE WHEN {_N} % 2 = 1 THEN '.1' ELSE '' END
-      || chr(9) || substr(line, 1, 30) END"""
+      || chr(9) || line END"""
 _UNITS = ["CAST(doc_id AS STRING) AS spec", "unit_no",
           "CASE WHEN unit_no % 5 = 0 THEN 'h' WHEN unit_no % 5 = 3 THEN 'r' ELSE 'p' END AS kind",
           f"CASE WHEN unit_no % 5 = 0 THEN {_TOKEN} ELSE line END AS text"]

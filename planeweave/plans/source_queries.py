@@ -98,10 +98,12 @@ def _(spark, d):
 
 @query("s5_merged_export", f"""SELECT d.run_id, d.flow_id, d.part, d.messages,
     coalesce(s.refs, '') AS sbi_refs, coalesce(n.refs, '') AS n4_refs FROM ({_DOC}) d
-    LEFT JOIN (SELECT run_id, flow_id, msg_no // 100000 AS part, string_agg(msg_no, ','
-      ORDER BY msg_no) AS refs FROM sbilink GROUP BY 1, 2, 3) s USING (run_id, flow_id, part)
-    LEFT JOIN (SELECT run_id, flow_id, msg_no // 100000 AS part, string_agg(msg_no, ','
-      ORDER BY msg_no) AS refs FROM n4link GROUP BY 1, 2, 3) n USING (run_id, flow_id, part)""")
+    LEFT JOIN (SELECT run_id, flow_id, part, string_agg(msg_no, ',' ORDER BY msg_no) AS refs
+      FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, flow_id ORDER BY msg_no) - 1)
+        // 100000 AS part FROM sbilink) GROUP BY 1, 2, 3) s USING (run_id, flow_id, part)
+    LEFT JOIN (SELECT run_id, flow_id, part, string_agg(msg_no, ',' ORDER BY msg_no) AS refs
+      FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, flow_id ORDER BY msg_no) - 1)
+        // 100000 AS part FROM n4link) GROUP BY 1, 2, 3) n USING (run_id, flow_id, part)""")
 def _(spark, d):
     visible, documents = _documents(spark, d)
     http = correlate.links(correlate.sbi_with_flow(sbi_messages(spark, d), visible))
@@ -218,15 +220,16 @@ def _(spark, d):
 @query("r4_cached_index", """SELECT vec_id, round(sqrt(list_sum(list_transform(
     CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings""")
 def _(spark, d):
-    """Vector norms, built once per content of the corpus, then read back."""
+    """Vector norms, built once per content of the corpus and the vectors, then read back."""
     vectors = b.table(spark, d, "embeddings")
     squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
     norms = vectors.select("vec_id", F.round(F.sqrt(F.aggregate(
         squares, F.lit(0.0), lambda acc, x: acc + x)), 6).alias("norm"))
     docs = b.table(spark, d, "documents").select("doc_id", "text")
     root = shared_folder(spark)
-    retrieval.cached(norms, "norms", docs, root)
-    return retrieval.cached(norms, "norms", docs, root)
+    inputs = [docs, vectors.select("vec_id", "embedding")]
+    retrieval.cached(norms, "norms", inputs, root)
+    return retrieval.cached(norms, "norms", inputs, root)
 
 
 @query("v6_hypothesis_brief", """SELECT o_orderkey, 'Procedure: Registration (explicit reject), '

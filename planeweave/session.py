@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +44,13 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster's `spark.checkpoint.dir` is used when it is set; only a session
-    without one (a test) gets a folder of its own.
+    The cluster's `spark.checkpoint.dir` is used when it is set; only a local
+    session without one (a test) gets a folder of its own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="planeweave-checkpoint-"))
     return named or context.getCheckpointDir()

@@ -167,15 +167,22 @@ def merged_documents(documents: DataFrame, sbi_refs: DataFrame | None = None,
     """Flow documents with the message references of the planes given.
 
     References come in parts of their own (see `correlate.flow_refs`); part n of
-    a list stands on part n of the flow, further parts on rows of their own.
+    a list stands on part n of the flow, further parts on rows of their own that
+    repeat the flow's header.
     """
     out = documents
+    header = [c for c in documents.columns
+              if c not in ("run_id", "flow_id", "part", "messages", "procedures")]
+    heads = documents.filter("part = 0").select(
+        "run_id", "flow_id", *[F.col(c).alias(f"_{c}") for c in header])
     for name, refs in (("sbi_refs", sbi_refs), ("n4_refs", n4_refs)):
         if refs is None:
             continue
         out = out.join(refs.withColumnRenamed("refs", name), ["run_id", "flow_id", "part"], "full")
         out = out.withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
-    return out
+    out = out.join(heads, ["run_id", "flow_id"], "left")
+    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in header}).drop(
+        *[f"_{c}" for c in header])
 
 
 def merged_kpis(kpis: DataFrame, cross: DataFrame | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planeweave.functions import codes, http
 from planeweave.operators import correlate, flows, kpi, pfcp
 from planeweave.operators import sbi as plane
+from planeweave.sources import exports
 
 RSP = {"src_ip": "u", "dst_ip": "s", "msg_type": 51}
 
@@ -39,24 +40,32 @@ def test_retransmit_flag_ignores_ports_and_type(spark):
 
 
 @pytest.mark.parametrize("split", [False, 5])
-def test_pfcp_pairing_equals_a_sequential_model(spark, split):
+def test_pfcp_pairs_keep_the_rules(spark, split):
     rng = random.Random(11)
-    made, pending, want = [], {}, []
-    for no in range(400):
-        seq, back, asks = rng.choice([1, 1, 1, 2, 3]), rng.random() < .4, rng.random() < .6
-        src, dst = ("u", "s") if back else ("s", "u")
-        made.append({"src_ip": src, "dst_ip": dst, "seq": seq, "msg_type": 50 if asks else 51})
-        key = (src, dst, seq) if asks else (dst, src, seq)
-        if asks:
-            pending.setdefault(key, no)
-        elif key in pending:
-            want.append((pending.pop(key), no))
-    want += [(no, None) for no in pending.values()]
+    made = []
+    for _ in range(400):
+        src, dst = ("u", "s") if rng.random() < .4 else ("s", "u")
+        made.append({"src_ip": src, "dst_ip": dst, "seq": rng.choice([1, 1, 1, 2, 3]),
+                     "msg_type": 50 if rng.random() < .6 else 51})
+
+    def talk(no):
+        m = made[no]
+        ends = (m["src_ip"], m["dst_ip"])
+        return (*(ends if m["msg_type"] == 50 else ends[::-1]), m["seq"])
+
     found = pfcp.pair_procedures(n4(spark, made), split)
-    assert rows(found, "req_no", "rsp_no") == sorted(want, key=repr)
-    numbered = rows(pfcp.in_order(found, split), "proc_no", "req_no")
-    plain = rows(pfcp.in_order(found, False), "proc_no", "req_no")
-    assert numbered == plain
+    pairs = rows(found, "req_no", "rsp_no")
+    for key in {talk(no) for no in range(len(made))}:
+        asked = [no for no in range(len(made)) if talk(no) == key and made[no]["msg_type"] == 50]
+        answers = [no for no in range(len(made)) if talk(no) == key and made[no]["msg_type"] == 51]
+        own = sorted(((q, a) for q, a in pairs if talk(q) == key), key=lambda p: p[0])
+        # Between two answers the first request counts, and the next answer is its own.
+        cuts = [-1, *answers, len(made)]
+        first = [min((q for q in asked if low < q < high), default=None) for low, high in zip(cuts, cuts[1:])]
+        assert own == [(q, high if high < len(made) else None)
+                       for q, high in zip(first, cuts[1:]) if q is not None]
+    assert rows(pfcp.in_order(found, split), "proc_no", "req_no") == rows(
+        pfcp.in_order(found, False), "proc_no", "req_no")
 
 
 def test_service_names(spark):
@@ -173,3 +182,14 @@ def test_bcd_digits(spark):
                                 (bytearray(b"\x1b"),)], "raw binary")
     assert [r[0] for r in df.select(codes.bcd_digits(F.col("raw"))).collect()] == [
         "99970", "0002", None]
+
+
+def test_references_go_by_the_flows_own_list(spark):
+    links = spark.createDataFrame([("r", 1, 5), ("r", 1, 250001), ("r", 1, 990000)],
+                                  "run_id string, flow_id bigint, msg_no bigint")
+    refs = correlate.flow_refs(links)
+    assert rows(refs, "part", "refs") == [(0, [5, 250001, 990000])]
+    documents = spark.createDataFrame([("r", 1, 0, 7, [1])], "run_id string, flow_id bigint, "
+                                      "part bigint, ran_ue_ngap_id bigint, messages array<bigint>")
+    merged = exports.merged_documents(documents, correlate.flow_refs(links, 2))
+    assert rows(merged, "part", "ran_ue_ngap_id", "sbi_refs") == [(0, 7, [5, 250001]), (1, 7, [990000])]
