@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planeweave.llm.bbit import Forest
-from planeweave.llm.common import mixed, prepare, rows_of, stored
+from planeweave.llm.common import grouped, mixed, prepare, rows_of, stored
 from planeweave.llm.components import components
 
 TABLES, HASHES, PROBES = 12, 3, 6
@@ -147,23 +147,23 @@ def duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int = TA
     once = alike.groupBy("n", "s", "lowest", "highest").agg(F.min("bucket").alias("bucket")).select("bucket")
     placed = _blocks(inside.join(once, "bucket"), "bucket").join(classes.select("rep", "vec"), "rep")
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
+    def link(rows: dict) -> list[tuple[int, int]]:
         # A chance collision of keys can bring vectors of different length together.
-        a, b, rep = [], [], group["rep"].to_numpy()
-        lengths = group["vec"].map(len).to_numpy()
+        made, rep = [], rows["rep"]
+        lengths = np.array([len(v) for v in rows["vec"]])
         for size in np.unique(lengths):
             at = np.flatnonzero(lengths == size)
-            x = _unit(group["vec"].iloc[at].tolist())
+            x = _unit([rows["vec"][k] for k in at])
             forest = Forest(len(at))
             for k in range(0, len(at), 512):
                 i, j = np.nonzero(x[k:k + 512] @ x.T >= least)
                 i = i + k
                 for p, q in zip(i[i < j].tolist(), j[i < j].tolist()):
                     if forest.union(p, q):
-                        a.append(rep[at[p]]), b.append(rep[at[q]])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                        made.append((rep[at[p]], rep[at[q]]))
+        return made
 
-    links = placed.groupBy("bucket", "low", "high").applyInPandas(link, "a long, b long")
+    links = grouped(placed, ["bucket", "low", "high"], link, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     joined = stored(components(links, "polytope-components").distinct(), "polytope-members")
     members = classes.join(joined, classes["rep"] == joined["node"]).select("rep", "component", "vec", "weight")
 
