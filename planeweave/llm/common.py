@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ BATCH_ROWS = 1_000
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings; Arrow batches are kept short because one row can be a long text."""
     tune(spark)
+    # Workers import this package from where the driver did, unless it is installed there.
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     # Tables that several steps read are written out, so shuffle files can go with their query.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
