@@ -21,7 +21,6 @@ SKIP_TITLE = r"(?i)^(Contents|List of tables|List of figures)$"
 VERSION = r"\bV(\d+\.\d+\.\d+)\b"
 MAX_CHARS, MIN_CHARS = 6000, 80
 RELEASES = {"g": 16, "h": 17, "i": 18, "j": 19, "k": 20}
-LEVELS = 8
 
 
 def clause_token(heading: Column) -> Column:
@@ -39,41 +38,36 @@ def heading_title(heading: Column) -> Column:
     return F.when(tab > 0, F.trim(F.substring(text, tab + 1, F.length(text)))).otherwise(text)
 
 
-def _parts(token: str = "token") -> Column:
-    return F.split(token, r"\.")
+def _ancestors(heads: DataFrame, counts: Column, opens: Column, split: Split) -> DataFrame:
+    """(spec, unit_no, level, unit_no and line of the open heading) per open ancestor.
 
-
-def _prefix(level: int, token: str = "token") -> Column:
-    """The first `level` components of a token, '' when it has fewer."""
-    parts = _parts(token)
-    return F.when(F.size(parts) >= level, F.array_join(F.slice(parts, 1, level), ".")).otherwise("")
-
-
-def _breaks(heads: DataFrame, counts: Column, split: Split) -> DataFrame:
-    """Add per level `break_L`: the last counting heading whose level-L prefix
-    differs from the row's, i.e. the one that closed what was open before."""
+    One row per heading and dotted prefix of its number.  A heading that `opens` a prefix
+    stays open until one that `counts` and is not below the prefix; what is directly before a
+    heading and not below its prefix is therefore marked, and the last mark of the prefix
+    compared with the last heading that opened it.
+    """
     seen = scan(heads, ["spec"], "unit_no", split=split,
                 _prev=previous(F.when(counts, F.struct("unit_no", "token")), "unit_no"))
-    prev = F.col("_prev")
-    marks = {
-        f"_mark_{n}": F.when(counts & (prev.isNull() | (
-            _prefix(n) != _prefix(n, "_prev.token"))), F.coalesce(prev.unit_no, F.lit(-1)))
-        for n in range(1, LEVELS + 1)}
-    marked = seen.withColumns(marks)
-    return scan(marked, ["spec"], "unit_no", split=split, **{
-        f"break_{n}": latest(F.col(f"_mark_{n}"), "unit_no") for n in range(1, LEVELS + 1)
-    }).drop("_prev", *marks)
-
-
-def _open(level: int, candidate: str) -> Column:
-    """Whether the last candidate of a level is an open ancestor of the row."""
-    c = F.col(candidate)
-    return F.coalesce((F.size(_parts()) > level) & (c.token == _prefix(level))
-                      & (c.unit_no > F.col(f"break_{level}")), F.lit(False))
+    parts = F.split("token", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                           lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    spread = seen.withColumn("_opens", opens).select(
+        "spec", "unit_no", "token", "title", "_prev", "_opens", F.size(parts).alias("depth"),
+        F.posexplode(prefixes).alias("level", "prefix"))
+    own = F.col("level") == F.col("depth") - 1
+    inside = F.coalesce(F.startswith("_prev.token", F.concat("prefix", F.lit("."))), F.lit(False))
+    placed = scan(
+        spread.withColumn("_mark", F.when(~own & ~inside, F.coalesce("_prev.unit_no", F.lit(-1))))
+        .withColumn("_open", F.when(own & F.col("_opens"), F.struct(
+            "unit_no", text_of(F.col("token"), "\t", F.col("title")).alias("line")))),
+        ["spec", "prefix"], "unit_no", split=split,
+        open=previous(F.col("_open"), "unit_no"), mark=latest(F.col("_mark"), "unit_no"))
+    return placed.filter(~own & (F.col("open.unit_no") >= F.col("mark"))).select(
+        "spec", "unit_no", "level", F.col("open.line").alias("line"))
 
 
 def headings(units: DataFrame, split: Split = None) -> DataFrame:
-    """Numbered headings with their breadcrumb of open ancestors.
+    """Numbered headings with their breadcrumb of open ancestors, of any depth.
 
     A heading closes every open heading whose number is not a dotted prefix of
     its own.  Contents and list headings close nothing; they and the headings
@@ -83,32 +77,19 @@ def headings(units: DataFrame, split: Split = None) -> DataFrame:
     heads = units.filter(F.col("kind") == "h").select(
         "spec", "unit_no", clause_token(F.col("text")).alias("token"),
         heading_title(F.col("text")).alias("title")).filter(F.col("token").isNotNull())
-    skip = F.col("title").rlike(SKIP_TITLE)
-    levels = range(1, LEVELS + 1)
-    at = {n: F.size(_parts()) == n for n in levels}
-
-    first = scan(_breaks(heads.withColumn("skip", skip), ~F.col("skip"), split),
-                 ["spec"], "unit_no", split=split, **{
-        f"skip_{n}": previous(F.when(F.col("skip") & at[n], F.struct("unit_no", "token")),
-                              "unit_no") for n in levels})
-    absorbed = F.lit(False)
-    for n in levels:
-        absorbed = absorbed | _open(n, f"skip_{n}")
-    placed = first.withColumn("kept", ~F.col("skip") & ~absorbed).select(
-        "spec", "unit_no", "token", "title", "kept")
-    placed = cut_lineage(placed)
-
-    crumbed = scan(_breaks(placed.filter("kept"), F.col("kept"), split),
-                   ["spec"], "unit_no", split=split, **{
-        f"cand_{n}": previous(F.when(at[n], F.struct("unit_no", "token", "title")), "unit_no")
-        for n in levels})
-    crumbs = F.array_compact(F.array(*[
-        F.when(_open(n, f"cand_{n}"), text_of(F.col(f"cand_{n}").token, "\t",
-                                              F.col(f"cand_{n}").title)) for n in levels]))
+    marked = heads.withColumn("skip", F.col("title").rlike(SKIP_TITLE))
+    absorbed = _ancestors(marked, ~F.col("skip"), F.col("skip"), split).select(
+        "spec", "unit_no", F.lit(True).alias("absorbed")).distinct()
+    placed = cut_lineage(marked.join(absorbed, ["spec", "unit_no"], "left").select(
+        "spec", "unit_no", "token", "title",
+        (~F.col("skip") & F.col("absorbed").isNull()).alias("kept")))
+
+    lines = F.array_sort(F.collect_list(F.struct("level", "line")))
+    crumbs = _ancestors(placed.filter("kept"), F.lit(True), F.lit(True), split).groupBy(
+        "spec", "unit_no").agg(F.transform(lines, lambda c: c.line).alias("breadcrumb"))
     empty = F.array().cast("array<string>")
-    return crumbed.select("spec", "unit_no", "token", "title", "kept",
-                          crumbs.alias("breadcrumb")).unionByName(
-        placed.filter(~F.col("kept")).withColumn("breadcrumb", empty))
+    return placed.join(crumbs, ["spec", "unit_no"], "left").withColumn(
+        "breadcrumb", F.coalesce("breadcrumb", empty))
 
 
 def bodies(units: DataFrame, heads: DataFrame, split: Split = None) -> DataFrame:

@@ -10,9 +10,12 @@ from planeweave.plans import bridges as b
 from planeweave.plans.oracle import block
 from planeweave.plans.registry import query
 
-# Units: every fifth line is a heading whose number follows from its position.
+# Units: every fifth line is a heading whose number follows from its position; every fifth
+# document nests its headings up to twelve levels.
 _N = "CAST(floor(unit_no / 5) AS BIGINT)"
-_TOKEN = f"""CASE WHEN {_N} % 11 = 10 THEN 'Annex B (informative)'
+_TOKEN = f"""CASE WHEN doc_id % 5 = 1 THEN '1' || repeat('.1', CAST({_N} % 12 AS INT))
+      || chr(9) || line
+    WHEN {_N} % 11 = 10 THEN 'Annex B (informative)'
     WHEN {_N} % 7 = 5 THEN 'Notes'
     WHEN {_N} % 13 = 12 THEN '9.9' || chr(9) || line
     WHEN {_N} % 17 = 16 THEN '3' || chr(9) || 'Contents'
