@@ -285,26 +285,31 @@ def _(spark, d):
 
 
 def _hybrid(spark, d):
-    """Benchmark items ask, documents answer; both take the vector of their id."""
-    queries = b.table(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS query").join(
-        _vectors(spark, d, "query_id"), "query_id")
-    docs = b.table(spark, d, "documents").selectExpr("doc_id AS chunk_id", "text").join(
-        _vectors(spark, d, "chunk_id"), "chunk_id")
-    return queries, docs
-
-
-block("vtexts", "SELECT t.*, v FROM texts t JOIN vec ON vec_id = chunk_id")
-block("vbest", """SELECT query_id, phrase FROM runs r WHERE query_id IN (SELECT vec_id FROM vec)
-    AND EXISTS (SELECT 1 FROM vtexts t WHERE contains(t.lowered, r.phrase))
+    """Benchmark items ask, documents answer; both take the vector of their id modulo the
+    number of vectors."""
+    vectors = _vectors(spark, d, "slot")
+    slot = f"pmod({{}}, {vectors.count()}) AS slot"
+    queries = b.table(spark, d, "benchmark").selectExpr(
+        "item_id AS query_id", "text AS query", slot.format("item_id")).join(vectors, "slot")
+    docs = b.table(spark, d, "documents").selectExpr(
+        "doc_id AS chunk_id", "text", slot.format("doc_id")).join(vectors, "slot")
+    return queries.drop("slot"), docs.drop("slot")
+
+
+block("vtexts", """SELECT t.*, v FROM texts t
+    JOIN vec ON vec_id = chunk_id % (SELECT count(*) FROM vec)""")
+block("vitems", """SELECT b.*, v FROM benchmark b
+    JOIN vec ON vec_id = item_id % (SELECT count(*) FROM vec)""")
+block("vbest", """SELECT query_id, phrase FROM runs r WHERE EXISTS (SELECT 1 FROM vtexts t WHERE contains(t.lowered, r.phrase))
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, start) = 1""")
 
 
 @query("r3_hybrid_top_k", """SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (
     SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id
       ORDER BY score DESC, chunk_id) AS rank FROM (
-      SELECT q.item_id AS query_id, t.chunk_id, list_cosine_similarity(e.v, t.v)
+      SELECT q.item_id AS query_id, t.chunk_id, list_cosine_similarity(q.v, t.v)
         + CASE WHEN p.phrase IS NOT NULL AND contains(t.lowered, p.phrase) THEN 0.15 ELSE 0 END
-        AS score FROM benchmark q JOIN vec e ON e.vec_id = q.item_id CROSS JOIN vtexts t
+        AS score FROM vitems q CROSS JOIN vtexts t
       LEFT JOIN vbest p ON p.query_id = q.item_id) WHERE score > 0) WHERE rank <= 5""")
 def _(spark, d):
     return retrieval.search(*_hybrid(spark, d)).select(
@@ -312,11 +317,10 @@ def _(spark, d):
 
 
 @query("r5_hybrid_answer", f"""SELECT q.item_id AS query_id, n.hits, e.entity_id FROM benchmark q
-    JOIN vec ON vec_id = q.item_id
-    JOIN (SELECT a.vec_id, least(count(*) FILTER (list_cosine_similarity(a.v, t.v)
+    JOIN (SELECT a.item_id, least(count(*) FILTER (list_cosine_similarity(a.v, t.v)
         + CASE WHEN p.phrase IS NOT NULL AND contains(t.lowered, p.phrase) THEN 0.15 ELSE 0 END > 0),
-        5) AS hits FROM vec a CROSS JOIN vtexts t LEFT JOIN vbest p ON p.query_id = a.vec_id
-      WHERE a.vec_id IN (SELECT item_id FROM benchmark) GROUP BY 1) n ON n.vec_id = q.item_id
+        5) AS hits FROM vitems a CROSS JOIN vtexts t LEFT JOIN vbest p ON p.query_id = a.item_id
+      GROUP BY 1) n ON n.item_id = q.item_id
     LEFT JOIN (SELECT item_id, arg_min(id, (-length(key), key)) AS entity_id FROM benchmark b
       JOIN entkey k ON contains({_KEY.format(x='b.text')}, k.key)
       WHERE NOT regexp_matches(b.text, '(?i)cause') GROUP BY 1) e ON e.item_id = q.item_id""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` to the shared folder, so later steps start from the files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it again: later steps start from
+    the files, read only the columns they need, and Spark knows the size."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
