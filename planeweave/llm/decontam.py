@@ -3,7 +3,8 @@
 The index is a BM25 inverted index over the items, cut into parts of a few dozen words.
 Every overlapping passage of every document is a query; block-max WAND retrieves all parts
 above a threshold.  A retrieved item counts only when its question and its answer both occur
-in the document around the passage.
+in the document around the passage: by shared shingles, or aligned word by word, so that an
+edited word costs one word and not all shingles across it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ PASSAGE_WORDS = 64       # passages start every half passage, so a part lies who
 BLOCK = 32               # postings with one block maximum
 RANGES, RANGE_PARTS = 64, 8   # ranges of parts with a maximum per term, and their least length
 THRESHOLD = 0.7          # share of a part's score with itself
-OVERLAP = 0.6            # share of question and of answer that must be found
+OVERLAP = 0.6            # share of the shingles of question and of answer that must be found
+ALIGNED = 0.75           # or share of the words of either that must be found in place
+WHOLE = 0.85             # or of the whole item, when SIDE of either is in place
+SIDE = 0.5
 SHINGLE = 5
 K1, B = 1.2, 0.75
 SHARD_BYTES = 8 << 20    # text of the items that one index holds
@@ -54,6 +58,22 @@ def shingles(words: list[str]) -> set:
     return {tuple(words[k:k + width]) for k in range(len(words) - width + 1)} if words else set()
 
 
+def aligned(part: list[str], near: list[str]) -> float:
+    """Share of a part's words that stay in the stretch of `near` most like it: 1 less the
+    fewest edits of single words for each word of the part."""
+    if not part:
+        return 1.0
+    known = {w: k for k, w in enumerate(dict.fromkeys(part))}
+    text = np.array([known.get(w, -1) for w in near], np.int64)
+    steps = np.arange(len(near) + 1)
+    edits = np.zeros(len(near) + 1, np.int64)      # a stretch may start anywhere
+    for w in part:
+        now = edits + 1
+        np.minimum(now[1:], edits[:-1] + (text != known[w]), out=now[1:])
+        edits = np.minimum.accumulate(now - steps) + steps
+    return 1.0 - int(edits.min()) / len(part)
+
+
 class Index:
     """Inverted index of item parts with impacts scaled so that a part scores 1 with itself."""
 
@@ -228,7 +248,8 @@ class Index:
         return found
 
     def verified(self, item: int, words: list[str], start: int, stop: int, overlap: float):
-        """Shares of the question's shingles and of the answer's that occur around a passage."""
+        """Shares of the question and of the answer that occur around a passage, by shingles
+        or aligned words, whichever finds more."""
         _, question, answer = self.items[item]
         reach = len(question) + len(answer)
         near = words[max(0, start - reach):stop + reach]
@@ -240,7 +261,17 @@ class Index:
             return len(wanted & there) / len(wanted) if wanted else 1.0
 
         q, a = share(question), share(answer)
-        return (q, a) if q >= overlap and a >= overlap else None
+        if q >= overlap and a >= overlap:
+            return q, a
+        # Words that occur at all bound what can be aligned.
+        there = set(near)
+        if any(sum(w in there for w in part) < SIDE * len(part) for part in (question, answer)):
+            return None
+        in_place = aligned(question, near), aligned(answer, near)
+        both = max(q, in_place[0]), max(a, in_place[1])
+        if all(x >= overlap or y >= ALIGNED for x, y in zip((q, a), in_place)):
+            return both
+        return both if min(both) >= SIDE and aligned(question + answer, near) >= WHOLE else None
 
 
 def indexes(benchmark: DataFrame):
@@ -263,7 +294,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, question_overlap, answer_overlap, passage_word) per document and item.
 
     Null or wordless texts and items match nothing; an item of fewer than five words is one
-    shingle; repeated rows each give their matches; a null doc_id is carried as null; the
+    shingle; an overlap is the larger of the shares of shingles and of aligned words; repeated
+    rows each give their matches; a null doc_id is carried as null; the
     best passage is reported, the first one among equals.  Empty tables give an empty result
     and columns other than doc_id, item_id and text are not read.
     """

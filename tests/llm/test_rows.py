@@ -20,6 +20,38 @@ def test_items_are_found_where_they_occur(docs, bench, rows):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_lightly_edited_items_are_found():
+    rng = random.Random(11)
+    vocabulary = [prose(rng, 1) + prose(rng, 1) for _ in range(3000)]
+    # A long question and an answer of five to eight words.
+    items = [(k, prose(rng, 30, vocabulary) + "? " + prose(rng, 5 + k % 4, vocabulary)) for k in range(40)]
+    index = decontam.Index(items)
+    for k, text in items:
+        words = decontam.tokens(text)
+        for edited in ([32], [31, 33], [3, 32], [8, 20]):
+            copy = ["edited" if at in edited else w for at, w in enumerate(words)]
+            around = [prose(rng, 80, vocabulary), " ".join(copy), prose(rng, 80, vocabulary)]
+            found = index.matches(" ".join(around), decontam.THRESHOLD, decontam.OVERLAP)
+            assert [m[0] for m in found] == [k]
+        # A question without its answer, and an answer to another question, stay clean.
+        alone = " ".join([prose(rng, 80, vocabulary), " ".join(words[:30]), prose(rng, 80, vocabulary)])
+        assert not index.matches(alone, decontam.THRESHOLD, decontam.OVERLAP)
+
+
+def test_aligned_words_are_those_of_fewest_edits():
+    rng = random.Random(12)
+    for _ in range(200):
+        part, near = ([rng.choice("abcd") for _ in range(rng.randint(1, 6))] for _ in range(2))
+        row = [0] * (len(near) + 1)
+        for i, w in enumerate(part):
+            now = [i + 1]
+            for j, x in enumerate(near):
+                now.append(min(row[j] + (x != w), row[j + 1] + 1, now[j] + 1))
+            row = now
+        assert abs(decontam.aligned(part, near) - (1 - min(row) / len(part))) < 1e-12
+    assert decontam.aligned([], ["a"]) == 1 and decontam.aligned(["a"], []) == 0
+
+
 def test_block_max_retrieval_is_complete():
     rng = random.Random(2)
     index = decontam.Index([(k, prose(rng, rng.randint(3, 70))) for k in range(200)])
