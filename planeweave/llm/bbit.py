@@ -24,6 +24,8 @@ BITS = 4                 # low bits kept of every minimum, one plane of HASHES b
 BANDS, BAND_ROWS = 25, 5
 MARGIN = 4.0             # standard deviations below the limit that still get confirmed
 BLOCK_BYTES = 16 << 20   # texts of a candidate cluster that one block of a task holds
+BLOCK_ROWS = 1 << 14     # and texts of it
+HELD = 1 << 21           # shingles of sets that a task keeps
 
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WEIGHTS = mixed(np.arange(1000, 1000 + BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -122,45 +124,88 @@ def _shingle_set(text: str, width: int) -> set:
 
 
 def confirmed(sig, counts, side, crossing: bool, percent: int, set_of):
-    """Links (i, j) of one task that join what was apart: likely pairs first, each confirmed
-    on the whole sets that `set_of` gives, pairs that are joined already left out.  Without
-    signatures all pairs of like size are likely."""
+    """Links (i, j) of one task that join what was apart, each confirmed on the whole sets
+    that `set_of` gives.  Without signatures all pairs of like size are likely.
+
+    Row by row, pairs estimated above the limit in a first pass: partners that are joined
+    already are left out, of the others the most likely of each joined group goes first.  No
+    more than the pairs of one row are held.
+    """
     n = len(counts)
-    if sig is not None:
-        bits = np.frombuffer(b"".join(sig), np.uint64).reshape(n, -1)
-        per_plane = bits.shape[1] // BITS
-    least, first, second, value = least_estimate(percent), [], [], []
-    for i in range(n - 1):
-        if sig is None:
-            estimate = np.ones(n - 1 - i)
-        else:
-            apart = bits[i] ^ bits[i + 1:]
-            differ = apart[:, :per_plane]
-            for b in range(1, BITS):
-                differ = differ | apart[:, b * per_plane:(b + 1) * per_plane]
-            estimate = similarity(np.bitwise_count(differ).sum(axis=1))
-        low = np.minimum(counts[i], counts[i + 1:])
-        high = np.maximum(counts[i], counts[i + 1:])
-        near = (estimate >= least) & (100 * low >= percent * high)
-        if crossing:
-            near &= side[i] != side[i + 1:]
-        j = np.flatnonzero(near)
-        first.append(np.full(len(j), i)), second.append(j + i + 1), value.append(estimate[j])
-    if not first:
-        return []
-    first, second = np.concatenate(first), np.concatenate(second)
-    order = np.argsort(-np.concatenate(value), kind="stable")
-    forest, sets, found = Forest(n), {}, []
-    for i, j in zip(first[order].tolist(), second[order].tolist()):
-        if forest.root(i) == forest.root(j):
+    if sig is None:
+        return _confirmed_few(n, counts, side, crossing, percent, set_of)
+    order = np.argsort(side, kind="stable") if crossing else np.arange(n)
+    size = np.asarray(counts, np.int64)[order]
+    cut = int(np.count_nonzero(np.asarray(side) == np.asarray(side)[order[0]])) if crossing and n else 0
+    bits = np.frombuffer(b"".join(sig), np.uint64).reshape(n, -1)[order]
+    per_plane = bits.shape[1] // BITS
+    label, found = np.arange(n), []
+    members: dict[int, list[int]] = {}
+    sets: dict[int, set] = {}
+    held = 0
+
+    def held_set(k, beside):
+        nonlocal held
+        if k not in sets:
+            if held > HELD:
+                mine = sets.get(beside)
+                sets.clear()
+                if mine is not None:
+                    sets[beside] = mine
+                held = len(mine or ())
+            sets[k] = set_of(int(order[k]))
+            held += len(sets[k])
+        return sets[k]
+
+    limit, rows = percent / 100.0, cut if crossing else n - 1
+    passes = ((limit, np.inf), (least_estimate(percent), limit))
+    for i, (least, most) in ((i, between) for between in passes for i in range(rows)):
+        at = cut if crossing else i + 1
+        low, high = np.minimum(size[i], size[at:]), np.maximum(size[i], size[at:])
+        near = np.flatnonzero((100 * low >= percent * high) & (label[at:] != label[i])) + at
+        if not len(near):
+            continue
+        apart = bits[i] ^ bits[near]
+        differ = apart[:, :per_plane]
+        for b in range(1, BITS):
+            differ = differ | apart[:, b * per_plane:(b + 1) * per_plane]
+        estimate = similarity(np.bitwise_count(differ).sum(axis=1))
+        likely = np.flatnonzero((estimate >= least) & (estimate < most))
+        if not len(likely):
             continue
-        for k in (i, j):
-            if k not in sets:
-                sets[k] = set_of(k)
-        both = len(sets[i] & sets[j])
-        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-            forest.union(i, j)
-            found.append((i, j))
+        near = near[likely[np.argsort(-estimate[likely], kind="stable")]]
+        first = np.zeros(len(near), bool)
+        first[np.unique(label[near], return_index=True)[1]] = True
+        for j in np.concatenate((near[first], near[~first])).tolist():
+            if label[i] == label[j]:
+                continue
+            one, two = held_set(i, j), held_set(j, i)
+            both = len(one & two)
+            if 100 * both >= percent * (len(one) + len(two) - both):
+                found.append((int(order[i]), int(order[j])))
+                # The smaller group takes the label of the larger.
+                a, b = (int(x) for x in (label[i], label[j]))
+                mine, other = members.pop(a, [a]), members.pop(b, [b])
+                if len(mine) < len(other):
+                    a, mine, other = b, other, mine
+                label[other] = a
+                mine += other
+                members[a] = mine
+    return found
+
+
+def _confirmed_few(n, counts, side, crossing, percent, set_of):
+    forest, found = Forest(n), []
+    for i in range(n - 1):
+        for j in range(i + 1, n):
+            if (crossing and side[i] == side[j] or 100 * min(counts[i], counts[j]) < percent * max(counts[i], counts[j])
+                    or forest.root(i) == forest.root(j)):
+                continue
+            one, two = set_of(i), set_of(j)
+            both = len(one & two)
+            if 100 * both >= percent * (len(one) + len(two) - both):
+                forest.union(i, j)
+                found.append((i, j))
     return found
 
 
@@ -198,13 +243,14 @@ def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join each cluster as far as its texts are similar.
 
-    A cluster is cut into blocks by a hash of the text, so that a block is about BLOCK_BYTES;
+    A cluster is cut into blocks by a hash of the text, of about BLOCK_BYTES or BLOCK_ROWS;
     every pair of blocks is one group and hands on at most one link per text.
     """
     members = reps.join(clusters, reps["rep"] == clusters["node"]).select(
         "digest", "rep", "sig", "n_shingles", "bytes", "component")
     sizes = members.groupBy("component").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS))
+        .cast("int").alias("blocks"))
     placed = (members.join(sizes, "component")
               .withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,4 +1,6 @@
+import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +61,54 @@ def test_blocks_of_a_cluster_keep_its_links(docs, monkeypatch):
     assert sorted(map(tuple, bbit.near_duplicates(docs).collect()), key=str) == whole
 
 
+def packed(sets):
+    hashes = [bbit.shingle_hashes(np.array([hash(x) & (1 << 63) - 1 for x in sorted(s)], np.uint64), 1) for s in sets]
+    return [bbit.planes(bbit.minima(h)) for h in hashes]
+
+
+def test_many_similar_texts_need_no_list_of_pairs():
+    n = 2000
+    sets = [lines.shingle_set(f"the same template of a line that goes on for ninety characters with a number at its end {k:05d}") for k in range(n)]
+    sig, counts = packed(sets), np.array([len(s) for s in sets])
+    for side, crossing in ((np.zeros(n), False), (np.arange(n) % 2, True)):
+        tracemalloc.start()
+        found = bbit.confirmed(sig, counts, side, crossing, 80, sets.__getitem__)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == n - 1 and set(labels(range(n), found).values()) == {0}
+        # 24 bytes for each of the pairs are 48 MB, or half of it.
+        assert peak < 8 << 20
+
+
+def test_confirmed_links_join_what_all_pairs_join(monkeypatch):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(12):
+        base = [rng.randrange(10 ** 9) for _ in range(60)]
+        for _ in range(rng.randint(1, 12)):
+            sets.append(set(base) - set(rng.sample(base, rng.randint(0, 12))) | {rng.randrange(10 ** 9) for _ in range(5)})
+    rng.shuffle(sets)
+    n, side = len(sets), np.array([rng.randrange(2) for _ in sets])
+    pairs = [(i, j) for i, j in combinations(range(n), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    sig, counts = packed(sets), np.array([len(s) for s in sets])
+    for held in (bbit.HELD, 100):
+        monkeypatch.setattr(bbit, "HELD", held)
+        for crossing in (False, True):
+            wanted = [(i, j) for i, j in pairs if not crossing or side[i] != side[j]]
+            assert len(wanted) > 10
+            for packs in (sig, None):
+                found = bbit.confirmed(packs, counts, side, crossing, 80, sets.__getitem__)
+                assert {tuple(sorted(p)) for p in found} <= set(wanted)
+                assert labels(range(n), found) == labels(range(n), wanted)
+
+
+def test_blocks_of_rows_keep_the_links(docs, monkeypatch):
+    whole = [sorted(map(tuple, f(docs).collect()), key=str) for f in (bbit.near_duplicates, lines.line_duplicates)]
+    for module in (bbit, lines):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 2)
+    assert [sorted(map(tuple, f(docs).collect()), key=str) for f in (bbit.near_duplicates, lines.line_duplicates)] == whole
+
+
 def test_estimate_is_close_to_the_similarity():
     rng = np.random.default_rng(3)
     errors = []
