@@ -3,12 +3,12 @@
 Documents are aggregated by the set of sources they belong to.  A pattern supplies its words
 once at cost 1, a second time at cost 2 and so on; every source asks for its target.  The
 cheapest flow gives the words that each pattern contributes, and documents are chosen within
-a pattern in the order of a seeded hash.
+a pattern in the order of a seeded hash.  Patterns and sources of any number stay in tables;
+only sources that share patterns need the flow, each connected component in a task of its own.
 """
 
 from __future__ import annotations
 
-import json
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planeweave.llm.common import prepare, stored
+from planeweave.llm.components import components
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5              # words of the mix for each word there is
@@ -23,7 +24,8 @@ REPEATS = 2              # most times that a document is taken
 SEED = "mix-1"
 HASH_BITS = 60
 LEVELS = (12, 24, HASH_BITS)   # bits of the hash by which the last document is narrowed down
-MOST_PATTERNS = 100_000  # more membership patterns are refused, not cut off
+MOST_SENT = 100_000      # rows of the plan that are sent everywhere; a longer one is joined
+RANGE_SOURCES = 100_000  # sources that one task numbers
 
 
 def word_count(text):
@@ -37,11 +39,11 @@ def seeded(doc_id, seed: str):
 
 
 def pattern_of(membership):
-    return F.to_json(F.array_sort(F.array_distinct(membership)))
+    return F.coalesce(F.to_json(F.array_sort(F.array_distinct(membership))), F.lit("[]"))
 
 
 def fill(sizes: list[int], weights: list[float], total: float, repeats: int) -> list[float]:
-    """Targets in proportion to the weights, none above `repeats` times its size: what a
+    """The plain form of `targets_of`: targets in proportion to the weights, none above `repeats` times its size: what a
     source cannot take is shared again among the others by weight."""
     targets, left = [0.0] * len(sizes), total
     open_ = sorted(range(len(sizes)), key=lambda k: (repeats * sizes[k] / weights[k], k))
@@ -111,6 +113,88 @@ def route(supply: dict[str, int], members: dict[str, list], quotas: dict, repeat
     return used
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """`sources` (source, size) with k, the place of each in code-point order, null last."""
+    parts = max(1, -(-sources.count() // RANGE_SOURCES))
+    order = [F.col("source").isNull(), F.col("source")]
+    # The id holds the range above 33 bits and the place in it below.
+    placed = stored(
+        sources.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("id", F.monotonically_increasing_id())
+        .withColumn("part", F.shiftright("id", 33)), "mix-sources")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("start"))
+    return placed.join(starts, "part").select(
+        "source", "size", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("k"))
+
+
+def targets_of(sources: DataFrame, weights, total: float, repeats: int) -> DataFrame:
+    """`sources` with the target of each, as `fill` gives them.
+
+    What each unit of weight gets rises as long as some source cannot take it: sums over the
+    sources that can and that cannot are taken again until none is added to the latter.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
+    rows = stored(numbered(sources).withColumn("weight", weight).withColumn(
+        "ratio", (F.lit(repeats) * F.col("size")).cast("double") / F.col("weight")), "mix-ratios")
+    level, full = 0.0, -1
+    while True:
+        at = F.col("ratio") <= F.lit(level)
+        if full < 0:
+            at = F.lit(False)
+        now = rows.agg(F.count(F.when(at, 1)).alias("full"), F.sum(F.when(at, F.lit(repeats) * F.col("size"))).alias("capped"),
+                       F.sum(F.when(~at, F.col("weight"))).alias("weight")).first()
+        if now["full"] == full:
+            break
+        full = now["full"]
+        if now["weight"] is None:
+            level = float("inf")
+            break
+        level = (total - float(now["capped"] or 0)) / now["weight"]
+    target = F.when(F.col("ratio") > F.lit(level), F.lit(level) * F.col("weight")).otherwise(
+        (F.lit(repeats) * F.col("size")).cast("double"))
+    return rows.select("source", "k", F.col("size").alias("source_size"), target.alias("target"))
+
+
+def contributions(sums: DataFrame, weights, share: float, repeats: int) -> DataFrame:
+    """(pattern, size, source_size, target, taken): the words that each pattern contributes."""
+    of = sums.withColumn("members", F.from_json("pattern", "array<string>"))
+    each = of.select("pattern", "size", F.size("members").alias("many"), F.explode("members").alias("source"))
+    total, most = of.agg(F.sum("size"), F.max(F.size("members"))).first()
+    sources = stored(targets_of(each.groupBy("source").agg(F.sum("size").alias("size")), weights,
+                                share * (total or 0), repeats), "mix-targets")
+    asked = each.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).select(
+        "pattern", "size", "many", "k", "source_size", "target", F.floor("target").cast("long").alias("quota"))
+    if (most or 0) > 1:
+        asked = stored(asked, "mix-asked")
+        meets = asked.where("many > 1").groupBy("pattern").agg(F.min("k").alias("a"), F.collect_list("k").alias("ks"))
+        joined = components(meets.select("a", F.explode("ks").alias("b")), "mix-overlaps")
+        asked = asked.join(joined, asked["k"] == joined["node"], "left")
+
+        def flow(group):
+            import pandas as pd
+
+            rows = group.sort_values(["pattern", "k"])
+            members = {p: ks.tolist() for p, ks in rows.groupby("pattern")["k"]}
+            supply = {p: int(n) for p, n in zip(rows["pattern"], rows["size"])}
+            used = route(supply, members, {int(k): int(q) for k, q in zip(rows["k"], rows["quota"])}, repeats)
+            return pd.DataFrame({"pattern": list(used), "taken": list(used.values())})
+
+        shared = (asked.where("component IS NOT NULL").select("pattern", "size", "k", "quota", "component")
+                  .groupBy("component").applyInPandas(flow, "pattern string, taken long"))
+        asked = stored(asked.where("many = 1").join(shared.withColumnRenamed("taken", "flow"), "pattern", "left")
+                       .withColumn("taken", F.coalesce("flow", F.least("quota", F.lit(repeats) * F.col("size"))))
+                       .select("pattern", "source_size", "target", "taken")
+                       .union(shared.join(of.where("size(members) > 1").select("pattern"), "pattern", "left_semi").select(
+                           "pattern", F.lit(None).cast("long"), F.lit(None).cast("double"), "taken")), "mix-flows")
+    else:
+        # A source of its own takes what it asks for: no target is above what there is.
+        asked = asked.select("pattern", "source_size", "target",
+                             F.least("quota", F.lit(repeats) * F.col("size")).alias("taken"))
+    return sums.join(asked, "pattern", "left").select(
+        "pattern", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """One row per membership pattern: source_size, target, whole (copies of every document),
     edge and rest (the seeded hash up to which one more copy is taken, and the words taken at
@@ -118,45 +202,31 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int =
 
     `sized` has pattern, size, h.  Sources come in code-point order, null last.
     """
-    spark = sized.sparkSession
-    sums = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    supply = {r["pattern"]: r["size"] for r in sums}
-    members = {p: json.loads(p) if p else [] for p in supply}
-    sources = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))
-    size_of = dict.fromkeys(sources, 0)
-    for p, m in members.items():
-        for s in m:
-            size_of[s] += supply[p]
-    share_of = [float(weights[k % len(weights)]) for k in range(len(sources))]
-    targets = dict(zip(sources, fill([size_of[s] for s in sources], share_of, share * sum(supply.values()), repeats)))
-    taken = route(supply, members, {s: int(t) for s, t in targets.items()}, repeats)
-    edges = {p: (0, taken[p] % supply[p]) for p in supply if supply[p] and taken[p] % supply[p]}
-    sizes, done = {}, 0
+    sums = stored(sized.groupBy("pattern").agg(F.sum("size").alias("size")), "mix-patterns")
+    taken = stored(contributions(sums, weights, share, repeats), "mix-taken")
+    edges = taken.where("size > 0 AND taken % size > 0").select(
+        "pattern", F.lit(0).cast("long").alias("edge"), F.expr("taken % size").alias("left"))
+    done = 0
     for bits in LEVELS:
-        if not edges:
-            break
-        now = spark.createDataFrame([(p, e, left) for p, (e, left) in sorted(edges.items())],
-                                    "pattern string, edge long, left long")
-        inside = (sized.where("size > 0").join(now, "pattern")
+        inside = (sized.where("size > 0").join(edges.select("pattern", "edge", "left"), "pattern")
                   .where(F.shiftright("h", HASH_BITS - done) == F.col("edge"))
                   .groupBy("pattern", "left", F.shiftright("h", HASH_BITS - bits).alias("p"))
                   .agg(F.sum("size").alias("size")))
         run = F.sum("size").over(Window.partitionBy("pattern").orderBy("p"))
-        last = (inside.withColumn("upto", run).where("upto > left AND upto - size <= left")
-                .select("pattern", "p", (F.col("left") - F.col("upto") + F.col("size")).alias("left"), "size").collect())
-        edges = {r["pattern"]: (r["p"], r["left"]) for r in last}
-        sizes, done = {r["pattern"]: r["size"] for r in last}, bits
-    rows = []
-    for p in sorted(supply):
-        edge, rest = edges.get(p, (-1, 0))
-        one = members[p][0] if len(members[p]) == 1 else None
-        alone = len(members[p]) == 1
-        rows.append((p, size_of[one] if alone else None, targets[one] if alone else None,
-                     taken[p] // supply[p] if supply[p] else 0, edge, rest, sizes.get(p, 1)))
-    return spark.createDataFrame(rows, "pattern string, source_size long, target double, whole long, "
-                                       "edge long, rest long, edge_size long")
+        edges = stored(
+            inside.withColumn("upto", run).where("upto > left AND upto - size <= left")
+            .select("pattern", F.col("p").alias("edge"), (F.col("left") - F.col("upto") + F.col("size")).alias("left"),
+                    F.col("size").alias("edge_size")), "mix-edges")
+        done = bits
+    whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
+    return stored(taken.join(edges, "pattern", "left").select(
+        "pattern", "source_size", "target", whole.cast("long").alias("whole"),
+        F.coalesce("edge", F.lit(-1)).cast("long").alias("edge"), F.coalesce("left", F.lit(0)).cast("long").alias("rest"),
+        F.coalesce("edge_size", F.lit(1)).cast("long").alias("edge_size")), "mix-plan")
+
+
+def _sent(planned: DataFrame) -> DataFrame:
+    return F.broadcast(planned) if planned.count() <= MOST_SENT else planned
 
 
 def _taken():
@@ -183,14 +253,14 @@ def mix(docs: DataFrame, membership=None, seed: str = SEED) -> DataFrame:
     prepare(docs.sparkSession)
     member = F.array("source") if membership is None else membership
     sized = stored(sized_rows(docs, member, seed), "mix-sizes")
-    # One row per membership pattern, at most MOST_PATTERNS: safe to send everywhere.
-    return sized.join(F.broadcast(plan(sized)), "pattern").select(
+    return sized.join(_sent(plan(sized)), "pattern").select(
         "doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; part of a document, at the
-    edge of a source, counts when it is half or more.  Texts are not shuffled."""
+    edge of a source, counts when it is half or more.  Texts are not shuffled, unless there
+    are more than MOST_SENT patterns."""
     prepare(spark)
     names = docs.columns
     member = F.array("source")
@@ -198,7 +268,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.select(F.struct([F.col(f"`{c}`") for c in names]).alias("row"), pattern_of(member).alias("pattern"),
                       word_count(F.col("text")).alias("size"), seeded("doc_id", SEED).alias("h"))
     copies = F.when(F.col("size") > 0, F.round(_taken() / F.col("size"))).otherwise(0).cast("int")
-    return (own.join(F.broadcast(planned), "pattern").withColumn("copies", copies).where("copies > 0")
+    return (own.join(_sent(planned), "pattern").withColumn("copies", copies).where("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*"))
 
 

@@ -1,11 +1,13 @@
 """Operators that work on each document, mixing and sharding."""
 
+import json
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import ITEM, prose
 from planeweave.llm import crf, decontam, langid, mixing, pii, quality, sharding, toxicity
@@ -239,6 +241,43 @@ def test_fill_shares_again_what_is_left():
     assert mixing.fill([], [], 0, 2) == []
 
 
+def test_mix_of_more_sources_than_fit_a_list(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 40_000)
+    n = 100_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat('word ', int(id % 7 + 1)) AS text", "concat('host', id) AS source")
+    got = {f"host{r.doc_id}": r for r in mixing.mix(docs).collect()}
+    names = sorted(got)
+    sizes = [got[s].size for s in names]
+    want = mixing.fill(sizes, [float(mixing.WEIGHTS[k % 3]) for k in range(n)], 1.5 * sum(sizes), 2)
+    assert len(names) == n and all(abs(got[s].target - t) < 1e-9 for s, t in zip(names, want))
+    assert all(got[s].taken == int(got[s].target) and got[s].source_size == got[s].size for s in names)
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_mix_of_overlapping_sources_is_the_flow(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
+    rng = random.Random(8)
+    groups = [["a"], ["b"], ["a", "b"], ["c"], ["c", "d"], ["d", None], ["e"], [None], ["f"], [], None]
+    rows = [(k, prose(rng, rng.randint(1, 30)), groups[k % len(groups)]) for k in range(220)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held array<string>")
+    got = {r.doc_id: r for r in mixing.mix(docs, F.col("held")).collect()}
+    supply, members, taken = Counter(), {}, Counter()
+    for k, text, held in rows:
+        name = json.dumps(held or [], separators=(",", ":"))
+        members[name] = held or []
+        supply[name] += len(text.split())
+        taken[name] += got[k].taken
+    sources = ["a", "b", "c", "d", "e", "f", None]
+    sizes = [sum(supply[p] for p, m in members.items() if s in m) for s in sources]
+    want = mixing.fill(sizes, [float(mixing.WEIGHTS[k % 3]) for k in range(len(sources))], 1.5 * sum(supply.values()), 2)
+    used = mixing.route(dict(supply), dict(sorted(members.items())), {s: int(t) for s, t in zip(sources, want)}, 2)
+    assert len(got) == len(rows) and dict(taken) == used
+    for k, _, held in rows:
+        one = held and len(held) == 1
+        assert got[k].source_size == (sizes[sources.index(held[0])] if one else None)
+        assert got[k].target == (pytest.approx(want[sources.index(held[0])]) if one else None)
+
+
 def test_shards_fit(docs, rows, empty):
     limit = 3_000
     got = sharding.shards(docs, limit).collect()
