@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from planeweave.llm import bbit, decontam, langid, lines, mixing, pii, polytope, quality, sharding, toxicity
+import public_tokenizers
+
+from planeweave.llm import (
+    bbit,
+    bytepair,
+    decontam,
+    langid,
+    lines,
+    mixing,
+    pii,
+    polytope,
+    quality,
+    sharding,
+    toxicity,
+    zonemap,
+)
 from planeweave.llm.common import table
 
 
@@ -46,6 +61,15 @@ def toxicity_scores(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def byte_pairs(spark, sf_dir):
+    return bytepair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)
+
+
+def centroid_clusters(spark, sf_dir):
+    return zonemap.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_source_mixing": source_mixing,
@@ -57,9 +81,12 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup,
     "op9_line_dedup": line_dedup,
     "op10_toxicity": toxicity_scores,
+    "op11_byte_pairs": byte_pairs,
+    "op12_centroid_clusters": centroid_clusters,
 }
 
 SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op12_centroid_clusters": zonemap.oracle(),
 }
