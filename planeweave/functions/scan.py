@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from planeweave.session import written
+
 PLAIN_ROWS = 1_000_000
 CHUNK_ROWS = 262_144
 
@@ -122,6 +124,36 @@ def position() -> Scan:
     )
 
 
+def total_to(value: Column) -> Scan:
+    """Sum of a value that is never null up to and including the row."""
+    return Scan(
+        lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        F.sum(value),
+        lambda s, w: _zero(F.sum(s).over(_before(w))),
+        lambda local, carry: local + carry,
+    )
+
+
+def xor_to(value: Column) -> Scan:
+    """Bitwise exclusive or of a value that is never null up to and including the row."""
+    return Scan(
+        lambda w: F.bit_xor(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        F.bit_xor(value),
+        lambda s, w: _zero(F.bit_xor(s).over(_before(w))),
+        lambda local, carry: local.bitwiseXOR(carry),
+    )
+
+
+def dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`df` written in ranges of `by`, with the number of the range as `_part`.
+
+    Spark samples the columns of `by` for the splitters, so a key with very many rows, or rows
+    of one time, takes as many ranges as it fills.  As the `bucket` of a scan in the order of `by`,
+    `_part` splits every key there.
+    """
+    return written(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+
+
 def chunk_of(order: str, rows: int) -> Column:
     """The chunk a position falls into."""
     return F.floor(F.col(order) / F.lit(rows)).cast("long")

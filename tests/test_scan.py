@@ -56,3 +56,16 @@ def test_top_rows_limits_each_task_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert top.count() == 6
+
+
+def test_dealt_ranges_split_a_key(spark):
+    df = _data(spark).withColumn("w", F.coalesce("v", F.lit(0)).cast("long"))
+    # Few rows would be joined to one range.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    laid = s.dealt(df.repartition(3), ["k", "o"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert laid.filter("k = 'h'").select("_part").distinct().count() > 1
+    more = {"total": s.total_to(F.col("w")), "mixed": s.xor_to(F.xxhash64("o"))}
+    got = s.scan(laid, ["k"], "o", split=1, bucket=F.col("_part"), **specs(), **more).drop("_part")
+    want = s.scan(df, ["k"], "o", split=False, **specs(), **more)
+    assert {r.o: r for r in got.collect()} == {r.o: r for r in want.collect()}
