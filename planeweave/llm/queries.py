@@ -16,6 +16,7 @@ from planeweave.llm import (
     quality,
     sharding,
     toxicity,
+    trie,
     zonemap,
 )
 from planeweave.llm.common import table
@@ -70,6 +71,10 @@ def centroid_clusters(spark, sf_dir):
     return zonemap.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def conversation_trie(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_source_mixing": source_mixing,
@@ -83,10 +88,12 @@ QUERIES = {
     "op10_toxicity": toxicity_scores,
     "op11_byte_pairs": byte_pairs,
     "op12_centroid_clusters": centroid_clusters,
+    "op13_conversation_trie": conversation_trie,
 }
 
 SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op12_centroid_clusters": zonemap.oracle(),
+    "op13_conversation_trie": trie.ORACLE,
 }
