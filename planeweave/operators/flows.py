@@ -169,7 +169,7 @@ def nas_name() -> Column:
     return F.when(nas.unparsed.isNull() & nas["name"].isNotNull(), F.coalesce(nas.inner, nas["name"]))
 
 
-def _step(name: Column, kind: str, starts: dict, accepts: dict, rejects: dict) -> Column:
+def step_of(name: Column, kind: str, starts: dict, accepts: dict, rejects: dict) -> Column:
     """'start' / 'accept' / 'reject' when `name` plays that part for `kind`."""
     return (F.when(name == starts[kind], "start")
             .when(name == accepts[kind], "accept")
@@ -207,9 +207,9 @@ def paired_steps(visible: DataFrame, split: Split = None) -> DataFrame:
     the last context release.
     """
     name = nas_name()
-    nas_steps = {k: _step(name, k, NAS_START, NAS_ACCEPT, NAS_REJECT) for k in KINDS}
+    nas_steps = {k: step_of(name, k, NAS_START, NAS_ACCEPT, NAS_REJECT) for k in KINDS}
     ngap = F.col("ngap")
-    ngap_steps = {k: _step(ngap, k, CARRIER_START, CARRIER_ACCEPT, CARRIER_REJECT) for k in KINDS}
+    ngap_steps = {k: step_of(ngap, k, CARRIER_START, CARRIER_ACCEPT, CARRIER_REJECT) for k in KINDS}
     moves = visible.select(
         *FLOW_KEY, "flow_id", "msg_no",
         F.coalesce(ngap.isin(CONTEXT_RELEASE), F.lit(False)).alias("release"),

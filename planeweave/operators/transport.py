@@ -14,9 +14,7 @@ from planeweave.operators.sbi import connection
 NGAP_PPID, PFCP_PORT, SBI_PORT = 60, 8805, 7777
 PREFACE = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"
 MIDSTREAM = "h2 decode failed: no HTTP/2 client preface (capture started midstream?)"
-
-# A packet of at most 64 KiB holds fewer chunks than this.
-CHUNKS_PER_PACKET = 4096
+STREAM_KEY = ["run_id", "sport", "dport", "stream_id"]
 
 
 def _first_of(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -39,21 +37,19 @@ def dedup_sctp(chunks: DataFrame) -> DataFrame:
 def reassemble(chunks: DataFrame, split: Split = None) -> DataFrame:
     """Messages put together from chunks per association and stream.
 
-    Chunks join in capture order up to one that ends the message, which gives the
-    time and addresses.  A tail that no chunk ends is dropped before anything is
-    collected, so a group is one message.
+    Chunks join in capture order, by packet and by place in it, up to one that ends the
+    message, which gives the time and addresses.  A tail that no chunk ends is dropped before
+    anything is collected, so a group is one message.
     """
-    stream = ["run_id", "sport", "dport", "stream_id"]
-    ordered = chunks.withColumn(
-        "ord", F.col("pkt_no") * CHUNKS_PER_PACKET + F.col("chunk_no"))
-    placed = scan(ordered, stream, "ord", split=split,
+    placed = scan(chunks, STREAM_KEY, "pkt_no", ties=("chunk_no",), split=split,
                   message=count_before(F.col("ending")), ends=any_ahead(F.col("ending")))
-    joined = placed.filter("ends").groupBy(*stream, "message").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("parts"),
-        F.max_by(F.struct("ts", "src_ip", "dst_ip", "ord"), "ord").alias("last"))
-    data = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p.data))
-    return joined.select(*stream, "last.ts", "last.src_ip", "last.dst_ip", "last.ord",
-                         data.alias("data"))
+    part, last = F.struct("pkt_no", "chunk_no", "data"), F.struct("pkt_no", "chunk_no")
+    joined = placed.filter("ends").groupBy(*STREAM_KEY, "message").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"),
+        F.max_by(F.struct("ts", "src_ip", "dst_ip", "pkt_no", "chunk_no"), last).alias("last"))
+    # Joined as text of hexadecimal digits, in one pass over the parts.
+    data = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
+    return joined.select(*STREAM_KEY, "last.*", data.alias("data"))
 
 
 def pfcp_datagrams(datagrams: DataFrame) -> DataFrame:

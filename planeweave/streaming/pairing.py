@@ -1,4 +1,4 @@
-"""Streamed forms of deduplication (T5) and request/response pairing.
+"""Streamed forms of deduplication (T5) and request/response pairing.
 
 Messages carry `event_time`.  A stream has no end of capture: a request is timed
 out when no answer came within the deadline, which the watermark decides.
