@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planeweave.llm.common import mixed, prepare, rows_of, shingle_hashes, stored, word_hashes
@@ -75,9 +75,10 @@ def least_estimate(percent: int) -> float:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bytes, sig, bands); the last four are null for empty sets."""
+    """(doc_id, raw, n_shingles, digest, bytes, sig, bands); the last four are null for empty sets.
+    `raw` is the digest of the text as it is, `digest` that of its words."""
     def sign(it):
-        for ids, texts in rows_of(it, "doc_id", "text"):
+        for ids, raw, texts in rows_of(it, "doc_id", "raw", "text"):
             count, digest, size, sig, bands = [], [], [], [], []
             for text in texts:
                 data = b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
@@ -88,15 +89,25 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     digest.append(None), sig.append(None), bands.append(None)
                     continue
                 low = minima(shingles)
-                digest.append(hashlib.md5(b" ".join(data.split())).digest())
+                digest.append(_digest(data))
                 sig.append(planes(low)), bands.append(band_keys(low))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "bytes", "sig", "bands"])
+                [pa.array(ids, pa.int64()), pa.array(raw, pa.string()), pa.array(count, pa.int64()),
+                 pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "raw", "n_shingles", "digest", "bytes", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, digest binary, bytes long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_digest().alias("raw"), "text").mapInArrow(
+        sign, "doc_id long, raw string, n_shingles long, digest binary, bytes long, sig binary, bands array<long>")
+
+
+def raw_digest():
+    """Digest of a text as it is; a null text has one of its own."""
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.md5(b" ".join(data.split())).digest()
 
 
 class Forest:
@@ -209,35 +220,53 @@ def _confirmed_few(n, counts, side, crossing, percent, set_of):
     return found
 
 
-def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
+def grouped_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, raw, n_shingles, grp, component_id), one row per row of `docs`: `grp` tells the groups
+    of linked documents apart, component_id is the smallest doc_id in the group.
 
-    Linked are documents whose sets of `width`-word shingles share at least `percent` percent
-    of their union; component_id is the smallest doc_id that can be reached.  A text of fewer
-    words is one shingle.  A null or blank text has no shingle and is linked with nothing; a
-    null doc_id gets its own null component and is kept.  Rows that repeat a doc_id count as
-    one document.  Other columns of `docs` are not read.
+    A text of a doc_id is a document, so an id that comes with different texts can be in several
+    groups.  Both are null for a null doc_id; a text without words has a null group.
     """
     prepare(docs.sparkSession)
     signed = stored(signatures(docs, width), "bbit-signatures")
-    # Exact copies: one aggregate row per task and text, however many copies there are.
+    # Exact copies: one aggregate row per task and text, however many copies there are.  Ids are
+    # given once and read from the files from then on.
     reps = stored(
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
-             F.first("n_shingles").alias("n_shingles"), F.first("bytes").alias("bytes")), "bbit-representatives")
-    keys = reps.select("rep", F.explode("bands").alias("band"))
-    crowded = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
-    meets = (keys.join(crowded.select("band", "hub"), "band").where("rep != hub")
-             .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+             F.first("n_shingles").alias("n_shingles"), F.first("bytes").alias("bytes"))
+        .withColumn("id", F.monotonically_increasing_id()), "bbit-representatives")
+    keys = reps.select("id", F.explode("bands").alias("band"))
+    crowded = keys.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
+    meets = (keys.join(crowded.select("band", "hub"), "band").where("id != hub")
+             .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     clusters = components(meets, "bbit-clusters")
     links = _links(docs, reps, stored(clusters, "bbit-members"), width, percent)
-    joined = components(links, "bbit-components")
-    named = reps.join(joined, reps["rep"] == joined["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("found"))
-    return (signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    joined = stored(components(links, "bbit-components"), "bbit-linked").join(
+        reps.select(F.col("id").alias("node"), "rep"), "node")
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = joined.select("node", "component").join(least, "component")
+    named = reps.join(linked, reps["id"] == linked["node"], "left").select(
+        "digest", F.coalesce("component", "id").alias("grp"), F.coalesce("least", "rep").alias("found"))
+    has_id = F.col("doc_id").isNotNull()
+    return signed.select("doc_id", "raw", "n_shingles", "digest").join(named, "digest", "left").select(
+        "doc_id", "raw", "n_shingles", F.when(has_id, F.col("grp")).alias("grp"),
+        F.when(has_id, F.coalesce("found", "doc_id")).alias("component_id"))
+
+
+def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
+
+    Linked are documents whose sets of `width`-word shingles share at least `percent` percent
+    of their union; component_id is the smallest doc_id that can be reached.  A text of fewer
+    words is one shingle.  A null or blank text has no shingle and is linked with nothing; a
+    null doc_id gets its own null component and is kept.  Repeated rows are one document; rows
+    that repeat a doc_id with another text are documents of their own.  Other columns of
+    `docs` are not read.
+    """
+    return grouped_documents(docs, width, percent).select(
+        "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
@@ -246,27 +275,30 @@ def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, pe
     A cluster is cut into blocks by a hash of the text, of about BLOCK_BYTES or BLOCK_ROWS;
     every pair of blocks is one group and hands on at most one link per text.
     """
-    members = reps.join(clusters, reps["rep"] == clusters["node"]).select(
-        "digest", "rep", "sig", "n_shingles", "bytes", "component")
+    members = reps.join(clusters, reps["id"] == clusters["node"]).select(
+        "id", "digest", "rep", "sig", "n_shingles", "bytes", "component")
     sizes = members.groupBy("component").agg(
         F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS))
         .cast("int").alias("blocks"))
     placed = (members.join(sizes, "component")
               .withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("rep", "sig", "n_shingles", "component", "own",
+              .select("id", "digest", "rep", "sig", "n_shingles", "component", "own",
                       F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
-    # Only the representative's own text is sent, once for each group that it is in.
+    # Only the texts of the representative are sent, once for each group that it is in.
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
     chosen = placed.join(texts, "rep")
 
     def compare(group):
-        group = group.drop_duplicates("rep")
+        # An id may have further texts, and a text further rows.
+        if group["id"].duplicated().any():
+            own = [_digest(t.encode("utf-8", "surrogatepass").lower()) == bytes(d) for t, d in zip(group["text"], group["digest"])]
+            group = group[own].drop_duplicates("id")
         texts = group["text"].tolist()
         found = confirmed(group["sig"].tolist(), group["n_shingles"].to_numpy(), group["own"].to_numpy(),
                           group["low"].iat[0] != group["high"].iat[0], percent, lambda k: _shingle_set(texts[k], width))
-        rep = group["rep"].to_numpy()
-        return _frame([rep[i] for i, _ in found], [rep[j] for _, j in found])
+        ids = group["id"].to_numpy()
+        return _frame([ids[i] for i, _ in found], [ids[j] for _, j in found])
 
     return chosen.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
 
@@ -285,9 +317,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (five words, 0.8).
 
-    Repeated rows of one doc_id are one document and leave one row; rows with a null doc_id
-    stay as they are.
+    Of a group the smallest doc_id stays, and of its texts in the group the one with the
+    smallest digest.  Rows that repeat a doc_id and its text are one document and leave the row
+    that comes first in the order of its other values.  Rows with a null doc_id stay as they are.
     """
-    gone = duplicates(docs, 5, 80).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
+    found = stored(grouped_documents(docs, 5, 80).select(
+        F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "grp").where("_id IS NOT NULL"), "bbit-found")
+    first = found.where("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct("_id", "_raw")).alias("first"))
+    gone = found.join(first, "grp").where(F.struct("_id", "_raw") != F.col("first")).select("_id", "_raw").distinct()
+    again = found.groupBy("_id", "_raw").count().where("count > 1").select("_id", "_raw")
+    rows = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col("doc_id").cast("long").alias("_id"), raw_digest().alias("_raw"))
+    left = rows.join(gone, ["_id", "_raw"], "left_anti")
+    order = Window.partitionBy("_id", "_raw").orderBy(F.to_json("_row", {"ignoreNullFields": "false"}))
+    once = left.join(again, ["_id", "_raw"], "left_semi").withColumn("_no", F.row_number().over(order)).where("_no = 1")
+    return left.join(again, ["_id", "_raw"], "left_anti").select("_row").union(once.select("_row")).select("_row.*")

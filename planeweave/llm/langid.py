@@ -22,6 +22,7 @@ SMOOTHING = 0.5
 STEPS = 15
 PENALTY = 3.0            # nats per further language, times the logarithm of the length
 PIECE = 1 << 20          # characters of a text that are turned into arrays at a time
+LEAST_SHARE = 0.4        # of a document's main language, in the pipeline
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -189,9 +190,17 @@ def language_of(docs: DataFrame) -> DataFrame:
 def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognised language go.
 
-    A document is rejected when no language is recognised or when none makes up 0.4 of it.
+    A document is rejected when no language is recognised or when none makes up 0.4 of it.  The rows
+    of the others stay as they are, whatever their columns are called.
     """
     prepare(spark)
     model = fit(docs.where(~in_fold("doc_id")))
-    names = docs.columns
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.4)).select(names)
+    sent = spark.sparkContext.broadcast((model.languages, model.log_p))
+
+    def known(it):
+        local = Model(*sent.value)
+        for batch in it:
+            shares = [local.mixture(trigram_counts(text)) for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([s is not None and float(s.max()) >= LEAST_SHARE for s in shares], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)

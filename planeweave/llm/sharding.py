@@ -94,12 +94,13 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with the shard that each is written to."""
+    """Last pipeline stage: the documents with the shard that each is written to, in a column
+    `shard`; an input column of that name is called `shard_in`."""
     prepare(spark)
     keys = stored(docs.select(key_of().alias("h"),
                               F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "shard-keys")
-    names = [c for c in docs.columns if c.lower() != "shard"]
-    rows = docs.select(F.struct([F.col(f"`{c}`") for c in names]).alias("_row"), key_of().alias("h"))
+    row = [F.col(f"`{c}`").alias("shard_in" if c.lower() == "shard" else c) for c in docs.columns]
+    rows = docs.select(F.struct(row).alias("_row"), key_of().alias("h"))
     return placed(rows, directory(keys)).select("_row.*", _shard().alias("shard"))
 
 
