@@ -1,12 +1,11 @@
 """Ordered scans whose work stays bounded when one key holds most of the rows.
 
-A window sorts all rows of a key in one task.  That is the cheapest plan while
-every key is small, so the largest key is measured first (a count that is
-aggregated before its shuffle).  Beyond `PLAIN_ROWS` the scan is split: the order
-column (a unique position such as `msg_no`) is cut into chunks of fixed width, so
-that a window only ever sees the rows of one (key, chunk); a summary row per
-(key, chunk) is scanned over the chunks of the key and joined back as the state
-the chunk starts from.  Both plans give the same rows.
+Every key is cut into chunks along its order, so that a window only ever sees the rows of one
+(key, chunk).  A summary row per (key, chunk) is scanned over the chunks of the key and joined
+back as the state a chunk starts from; a key of one chunk has no such row, and where all keys
+are short adaptive execution drops the join.  Positions (such as `msg_no`) are cut at fixed
+distances.  Orders of any other kind, where very many rows can share one value, are cut by
+sampled ranges, see `dealt`.
 """
 
 from __future__ import annotations
@@ -19,16 +18,16 @@ from pyspark.sql import functions as F
 
 from planeweave.session import written
 
-PLAIN_ROWS = 1_000_000
 CHUNK_ROWS = 262_144
 
-# None: measure.  False: plain window.  A number: split into chunks this wide.
-Split = int | bool | None
+# Positions in a chunk; None: CHUNK_ROWS.
+Split = int | None
 
 
 @dataclass(frozen=True)
 class Scan:
-    """One running value: inside a chunk, per chunk, across chunks, and merged."""
+    """One running value: inside a chunk, per chunk, across chunks, and merged.  A null carry
+    is what a first chunk starts from."""
 
     local: Callable[[WindowSpec], Column]
     summary: Column
@@ -110,7 +109,7 @@ def count_before(flag: Column) -> Scan:
         lambda w: _zero(F.sum(one).over(_before(w))),
         F.sum(one),
         lambda s, w: _zero(F.sum(s).over(_before(w))),
-        lambda local, carry: local + carry,
+        lambda local, carry: local + _zero(carry),
     )
 
 
@@ -120,7 +119,7 @@ def position() -> Scan:
         lambda w: F.row_number().over(w).cast("long"),
         F.count(F.lit(1)),
         lambda s, w: _zero(F.sum(s).over(_before(w))),
-        lambda local, carry: local + carry,
+        lambda local, carry: local + _zero(carry),
     )
 
 
@@ -130,7 +129,7 @@ def total_to(value: Column) -> Scan:
         lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         F.sum(value),
         lambda s, w: _zero(F.sum(s).over(_before(w))),
-        lambda local, carry: local + carry,
+        lambda local, carry: local + _zero(carry),
     )
 
 
@@ -140,7 +139,7 @@ def xor_to(value: Column) -> Scan:
         lambda w: F.bit_xor(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         F.bit_xor(value),
         lambda s, w: _zero(F.bit_xor(s).over(_before(w))),
-        lambda local, carry: local.bitwiseXOR(carry),
+        lambda local, carry: local.bitwiseXOR(_zero(carry)),
     )
 
 
@@ -159,19 +158,6 @@ def chunk_of(order: str, rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
-def crowded(df: DataFrame, keys: Sequence[str], limit: int = PLAIN_ROWS) -> bool:
-    """Whether some key holds more rows than one task should sort."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.filter(F.col("n") > limit).isEmpty()
-
-
-def split_width(df: DataFrame, keys: Sequence[str], split: Split) -> int | None:
-    """The chunk width to use, or None for a plain window."""
-    if split is None:
-        split = CHUNK_ROWS if crowded(df, keys) else False
-    return None if split is False else int(split)
-
-
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -185,22 +171,21 @@ def scan(
     """Add one column per spec, scanned in `order` within `keys`.
 
     `bucket` replaces the cut into chunks where `order` is no position; it must
-    grow with `order`.  In a split scan the keys must not be null.
+    grow with `order`.  The keys must not be null.
     """
-    width = split_width(df, keys, split)
-    if width is None:
-        w = Window.partitionBy(*keys).orderBy(order, *ties)
-        return df.select("*", *[s.local(w).alias(n) for n, s in specs.items()])
-
-    chunked = df.withColumn("_chunk", chunk_of(order, width) if bucket is None else bucket)
+    cut = chunk_of(order, split or CHUNK_ROWS) if bucket is None else bucket
+    chunked = df.withColumn("_chunk", cut)
     part = [*keys, "_chunk"]
     inside = Window.partitionBy(*part).orderBy(order, *ties)
     across = Window.partitionBy(*keys).orderBy("_chunk")
 
     local = chunked.select("*", *[s.local(inside).alias(f"_in_{n}") for n, s in specs.items()])
     summaries = chunked.groupBy(*part).agg(*[s.summary.alias(n) for n, s in specs.items()])
+    # A chunk beside which its key has no other starts from nothing.
     carried = summaries.select(
-        *part, *[s.carry(F.col(n), across).alias(f"_at_{n}") for n, s in specs.items()])
-    return local.join(carried, part, "inner").select(
+        *part, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_chunks"),
+        *[s.carry(F.col(n), across).alias(f"_at_{n}") for n, s in specs.items()]
+    ).filter("_chunks > 1").drop("_chunks")
+    return local.join(carried, part, "left").select(
         *df.columns,
         *[s.merge(F.col(f"_in_{n}"), F.col(f"_at_{n}")).alias(n) for n, s in specs.items()])

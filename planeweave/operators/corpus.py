@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planeweave.functions.packing import body_numbers
-from planeweave.functions.scan import Split, latest, previous, scan, split_width
+from planeweave.functions.scan import Split, latest, previous, scan
 from planeweave.functions.text import normalize_space, text_of
-from planeweave.session import cut_lineage
+from planeweave.session import cut_lineage, written
 
 # Token and title patterns, sizes, release letters.
 CLAUSE = r"^\d+(?:\.\d+)*[A-Z]?$"
@@ -73,11 +73,10 @@ def headings(units: DataFrame, split: Split = None) -> DataFrame:
     its own.  Contents and list headings close nothing; they and the headings
     below them are marked `kept` = false.
     """
-    split = split_width(units, ["spec"], split) or False
     heads = units.filter(F.col("kind") == "h").select(
         "spec", "unit_no", clause_token(F.col("text")).alias("token"),
         heading_title(F.col("text")).alias("title")).filter(F.col("token").isNotNull())
-    marked = heads.withColumn("skip", F.col("title").rlike(SKIP_TITLE))
+    marked = written(heads.withColumn("skip", F.col("title").rlike(SKIP_TITLE)))
     absorbed = _ancestors(marked, ~F.col("skip"), F.col("skip"), split).select(
         "spec", "unit_no", F.lit(True).alias("absorbed")).distinct()
     placed = cut_lineage(marked.join(absorbed, ["spec", "unit_no"], "left").select(
@@ -123,44 +122,19 @@ def slices(text: Column, max_chars: int = MAX_CHARS) -> Column:
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(cut)
 
 
-def _folded(pieces: Column, max_chars: int) -> Column:
-    """Ordered pieces of a clause folded into its bodies."""
-    state = F.struct(F.array().cast("array<string>").alias("done"),
-                     F.lit(None).cast("string").alias("cur"), F.lit(0).alias("size"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p.piece)
-        full = acc.cur.isNotNull() & (acc["size"] + n > max_chars)
-        fresh = full | acc.cur.isNull()
-        return F.struct(
-            F.when(full, F.concat(acc.done, F.array(acc.cur))).otherwise(acc.done).alias("done"),
-            F.when(fresh, p.piece).otherwise(F.concat(acc.cur, F.lit("\n\n"), p.piece))
-            .alias("cur"),
-            F.when(fresh, n).otherwise(acc["size"] + n).alias("size"))
-
-    return F.aggregate(pieces, state, step, lambda acc: F.array_compact(
-        F.concat(acc.done, F.array(acc.cur))))
-
-
-def pack(body_units: DataFrame, max_chars: int = MAX_CHARS, split: Split = None) -> DataFrame:
+def pack(body_units: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Pack the pieces of each clause greedily into bodies of at most max_chars,
     separators not counted (X4).
 
-    While every clause is small its pieces are folded in one group.  Otherwise the
-    fold is cut into runs of pieces whose entry states are chained, see
-    `functions.packing`; only piece lengths take part in the chain.
+    The sizes of the pieces decide where the bodies end (see `functions.packing`); only a body's
+    own texts are ever gathered.
     """
     key = ["spec", "node_no"]
-    pieces = body_units.select(*key, "unit_no", F.posexplode(
-        slices(F.col("text"), max_chars)).alias("piece_no", "piece"))
+    pieces = written(body_units.select(*key, "unit_no", F.posexplode(
+        slices(F.col("text"), max_chars)).alias("piece_no", "piece")))
+    numbers = body_numbers(pieces.select(*key, "unit_no", "piece_no", F.length("piece").alias("size")), max_chars)
     ordered = F.array_sort(F.collect_list(F.struct("unit_no", "piece_no", "piece")))
-    width = split_width(body_units, key, split)
-    if width is None:
-        return pieces.groupBy(*key).agg(_folded(ordered, max_chars).alias("bodies")).select(
-            *key, F.posexplode("bodies").alias("body_no", "body")).withColumn(
-            "body_no", F.col("body_no").cast("long"))
-    numbered = body_numbers(pieces.withColumn("size", F.length("piece")), max_chars, width)
-    return numbered.groupBy(*key, "body_no").agg(F.array_join(
+    return pieces.join(numbers, [*key, "unit_no", "piece_no"]).groupBy(*key, "body_no").agg(F.array_join(
         F.transform(ordered, lambda p: p.piece), "\n\n").alias("body"))
 
 
@@ -205,7 +179,6 @@ def versions(units: DataFrame, specs: DataFrame) -> DataFrame:
 
 def build(units: DataFrame, specs: DataFrame, split: Split = None) -> DataFrame:
     """Units to chunks."""
-    split = split_width(units, ["spec"], split) or False
     heads = cut_lineage(headings(units, split))
     packed = cut_lineage(pack(bodies(units, heads, split)))
     return chunks(heads, packed, versions(units, specs))

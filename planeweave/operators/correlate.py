@@ -6,11 +6,10 @@ side, where adaptive execution splits it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from planeweave.functions.scan import Split, split_width
+from planeweave.functions.scan import Split, position, scan
 
 SUPI_KEY = ["run_id", "supi"]
 TUNNEL_KEY = ["run_id", "teid", "ip"]
@@ -36,7 +35,7 @@ def unambiguous(claims: DataFrame, keys: list[str]) -> DataFrame:
     ).filter(F.col("flow_id") == F.col("_other")).drop("_other")
 
 
-def sbi_with_flow(sbi: DataFrame, flow_messages: DataFrame, split: Split = None) -> DataFrame:
+def sbi_with_flow(sbi: DataFrame, flow_messages: DataFrame) -> DataFrame:
     """SBI messages with the flow they link to.
 
     A decoded request links when its identity names exactly one flow.  A response
@@ -50,11 +49,10 @@ def sbi_with_flow(sbi: DataFrame, flow_messages: DataFrame, split: Split = None)
     own = F.when((F.col("direction") == "request") & F.col("unparsed").isNull()
                  & F.col("conn").isNotNull(), F.col("_owner"))
     marked = joined.withColumn("_own", own)
-    last = F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("msg_no")))
-    if split_width(sbi, stream, split) is None:
-        known = marked.withColumn("_last", last.over(Window.partitionBy(*stream)))
-    else:
-        known = marked.join(marked.groupBy(*stream).agg(last.alias("_last")), stream, "left")
+    # One row per stream that links, so a hot stream is only long on the message side.
+    last = marked.filter(F.col("_own").isNotNull()).groupBy(*stream).agg(
+        F.max_by("_own", "msg_no").alias("_last"))
+    known = marked.join(last, stream, "left")
     follows = (F.col("direction") == "response") & F.col("conn").isNotNull()
     return known.withColumn(
         "flow_id", F.when(follows, F.col("_last")).otherwise(F.col("_own"))
@@ -84,15 +82,15 @@ def n4_with_flow(n4: DataFrame, flow_messages: DataFrame) -> DataFrame:
     return n4.join(link_n4(n4, flow_messages), ["run_id", "msg_no"], "left")
 
 
-def flow_refs(links: DataFrame, part_rows: int = 100_000) -> DataFrame:
+def flow_refs(links: DataFrame, part_rows: int = 100_000, split: Split = None) -> DataFrame:
     """Sorted message numbers per flow.
 
     A flow may own any number of messages, so its list comes in parts of so many
     entries: `refs` of part 0, 1, ... put together are the whole list.
     """
-    place = F.row_number().over(Window.partitionBy("run_id", "flow_id").orderBy("msg_no"))
+    placed = scan(links, ["run_id", "flow_id"], "msg_no", split=split, place=position())
     part = F.floor((F.col("place") - 1) / part_rows).cast("long")
-    return links.withColumn("place", place).groupBy("run_id", "flow_id", part.alias("part")).agg(
+    return placed.groupBy("run_id", "flow_id", part.alias("part")).agg(
         F.array_sort(F.collect_list("msg_no")).alias("refs"))
 
 

@@ -1,22 +1,20 @@
 """N2 plane: per-device flows, payload visibility and procedures.
 
 Message tables carry `msg_no`, unique and increasing in capture order within a
-run.  All ordered steps scan the same flow key, so while flows are small they
-share one shuffle; a flow that holds too many rows for one task makes the scans
-split (see `functions.scan`), and then each stage is written once to the
-checkpoint folder instead of being evaluated again.
+run.  What a flow knows from its first message on is looked up, one row per flow; what
+depends on the order is scanned over the messages that take part in a procedure, which are
+few and written once (see `functions.scan`).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.functions.scan import (
-    CHUNK_ROWS, PLAIN_ROWS, Split, chunk_of, count_before, earliest, position, previous, scan)
-from planeweave.session import cut_lineage
+from planeweave.functions.scan import Split, count_before, position, previous, scan
+from planeweave.session import cut_lineage, written
 
 FLOW_KEY = ["run_id", "assoc_lo", "assoc_hi", "ran_key"]
 
@@ -69,33 +67,16 @@ def key_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def measure(keyed: DataFrame) -> tuple[Split, Split]:
-    """Whether scans per flow and scans over the flows of a run must split."""
-    sizes = keyed.groupBy(*FLOW_KEY).agg(F.count(F.lit(1)).alias("n"))
-    per_run = sizes.groupBy("run_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("flows"))
-    top = per_run.agg(F.max("n").alias("n"), F.max("flows").alias("flows")).first()
-    return (CHUNK_ROWS if (top.n or 0) > PLAIN_ROWS else False,
-            CHUNK_ROWS if (top.flows or 0) > PLAIN_ROWS else False)
+def assign_flows(messages: DataFrame, split: Split = None) -> DataFrame:
+    """Give each device message its flow_id, 1..n by first appearance.
 
-
-def assign_flows(messages: DataFrame, split: Split = None,
-                 run_split: Split = None) -> DataFrame:
-    """Give each device message its flow_id, 1..n by first appearance."""
+    The lookup has one row per flow; adaptive execution splits a flow that is hot among the
+    messages.
+    """
     keyed = key_messages(messages)
-    if split is None or run_split is None:
-        split, run_split = measure(keyed)
-    if split is False:
-        flows = keyed.groupBy(*FLOW_KEY).agg(F.min("msg_no").alias("first_msg_no"))
-        numbered = scan(flows, ["run_id"], "first_msg_no", split=run_split, flow_id=position())
-        return keyed.join(numbered, FLOW_KEY)
-    # The lookup is widened to one row per (flow, chunk), so that a hot flow
-    # meets the join in pieces.
-    keyed = keyed.withColumn("_chunk", chunk_of("msg_no", int(split)))
-    seen = keyed.groupBy(*FLOW_KEY, "_chunk").agg(F.min("msg_no").alias("first_no"))
-    flows = seen.groupBy(*FLOW_KEY).agg(F.min("first_no").alias("first_msg_no"))
-    numbered = scan(flows, ["run_id"], "first_msg_no", split=run_split, flow_id=position())
-    pieces = seen.drop("first_no").join(numbered, FLOW_KEY)
-    return keyed.join(pieces, [*FLOW_KEY, "_chunk"]).drop("_chunk")
+    flows = keyed.groupBy(*FLOW_KEY).agg(F.min("msg_no").alias("first_msg_no"))
+    numbered = scan(written(flows), ["run_id"], "first_msg_no", split=split, flow_id=position())
+    return keyed.join(numbered, FLOW_KEY)
 
 
 def flow_attributes(flow_messages: DataFrame) -> DataFrame:
@@ -115,18 +96,21 @@ def flow_attributes(flow_messages: DataFrame) -> DataFrame:
     )
 
 
-def carry_cipher(flow_messages: DataFrame, split: Split = None) -> DataFrame:
+def carry_cipher(flow_messages: DataFrame) -> DataFrame:
     """Add `flow_algo`: the algorithm the flow selected before the row.
 
     Only a payload that is readable without knowing the algorithm can announce
-    it, and a message never unlocks itself.
+    it, and a message never unlocks itself.  The first one counts, so it is looked up.
     """
     nas = F.col("nas")
     sealed = F.coalesce(nas.protected, F.lit(False))
     open_payload = (~sealed) | (nas.shdr.isin(1, 3) & nas.inner.isNotNull())
     announced = F.when(open_payload & nas.unparsed.isNull(), nas.ciph_algo)
-    return scan(flow_messages, FLOW_KEY, "msg_no", split=split,
-                flow_algo=earliest(announced, "msg_no"))
+    firsts = flow_messages.select(*FLOW_KEY, "msg_no", announced.alias("_algo")).filter(
+        F.col("_algo").isNotNull()).groupBy(*FLOW_KEY).agg(
+        F.min("msg_no").alias("_from"), F.min_by("_algo", "msg_no").alias("_algo"))
+    return flow_messages.join(firsts, FLOW_KEY, "left").withColumn(
+        "flow_algo", F.when(F.col("_from") < F.col("msg_no"), F.col("_algo"))).drop("_from", "_algo")
 
 
 def refusal_note() -> Column:
@@ -144,12 +128,12 @@ def refusal_note() -> Column:
     )
 
 
-def resolve_visibility(flow_messages: DataFrame, split: Split = None) -> DataFrame:
+def resolve_visibility(flow_messages: DataFrame) -> DataFrame:
     """Close the payloads that could not have been read.
 
     A refused payload keeps its note and its `protected` flag only.
     """
-    noted = carry_cipher(flow_messages, split).withColumn("_note", refusal_note())
+    noted = carry_cipher(flow_messages).withColumn("_note", refusal_note())
     nas = F.col("nas")
 
     def if_open(field: str, kind: str) -> Column:
@@ -217,16 +201,17 @@ def paired_steps(visible: DataFrame, split: Split = None) -> DataFrame:
     )
     takes_part = reduce(Column.__or__, [F.col(p + k).isNotNull() for p in ("nas_", "ngap_")
                                         for k in KINDS])
-    cycles = scan(
-        moves.filter(F.col("release") | takes_part), FLOW_KEY, "msg_no", split=split,
-        cycle=count_before(F.col("release")),
-        **{f"before_{k}": previous(F.col(f"nas_{k}"), "msg_no") for k in KINDS})
-    if split:
-        cycles = cut_lineage(cycles)
-    opened = scan(
-        cycles, [*FLOW_KEY, "cycle"], "msg_no", split=split,
-        **{f"open_{k}": earliest(F.when(F.col(f"ngap_{k}").step == "start", F.col(f"ngap_{k}")),
-                                 "msg_no") for k in KINDS})
+    # Read by the scan, and what it gives by the lookup below: both are written, they are narrow.
+    moves = written(moves.filter(F.col("release") | takes_part))
+    cycles = written(scan(
+        moves, FLOW_KEY, "msg_no", split=split, cycle=count_before(F.col("release")),
+        **{f"before_{k}": previous(F.col(f"nas_{k}"), "msg_no") for k in KINDS}))
+    opens = {k: F.when(F.col(f"ngap_{k}").step == "start", F.col("msg_no")) for k in KINDS}
+    firsts = cycles.groupBy(*FLOW_KEY, "cycle").agg(
+        *[F.min_by(f"ngap_{k}", opens[k]).alias(f"first_{k}") for k in KINDS])
+    opened = cycles.join(firsts, [*FLOW_KEY, "cycle"]).select("*", *[
+        F.when(F.col(f"first_{k}").msg_no < F.col("msg_no"), F.col(f"first_{k}")).alias(f"open_{k}")
+        for k in KINDS])
     found = F.array_compact(F.array(*_closed(opened, "nas_", "before_", 0),
                                     *_closed(opened, "ngap_", "open_", 1)))
     return opened.select(*FLOW_KEY, "flow_id", F.explode(found).alias("p")).select(
@@ -246,16 +231,13 @@ def settle(pairs: DataFrame, split: Split = None) -> DataFrame:
     """
     per_kind = [*FLOW_KEY, "kind"]
     is_nas, no = F.col("source") == 0, F.col("end_no")
-    firsts = {"nas_end_no": F.min(F.when(is_nas, no)), "carrier_end_no": F.min(F.when(~is_nas, no))}
-    if split is False:
-        w = Window.partitionBy(*per_kind)
-        known = pairs.select("*", *[agg.over(w).alias(n) for n, agg in firsts.items()])
-    else:
-        ends = pairs.groupBy(*per_kind).agg(*[agg.alias(n) for n, agg in firsts.items()])
-        known = pairs.join(ends, per_kind)
+    pairs = written(pairs)
+    ends = pairs.groupBy(*per_kind).agg(F.min(F.when(is_nas, no)).alias("nas_end_no"),
+                                        F.min(F.when(~is_nas, no)).alias("carrier_end_no"))
+    known = pairs.join(ends, per_kind)
     stands = is_nas | ((no == F.col("carrier_end_no"))
                        & (F.col("nas_end_no").isNull() | (no < F.col("nas_end_no"))))
-    ordered = known.filter(stands).drop(*firsts).withColumn(
+    ordered = known.filter(stands).drop("nas_end_no", "carrier_end_no").withColumn(
         "_order", no * 4 + F.col("source") * 2 + F.when(F.col("kind") == SESSION, 1).otherwise(0))
     return scan(ordered, FLOW_KEY, "_order", split=split,
                 proc_no=position()).drop("_order", "assoc_lo", "assoc_hi", "ran_key")
@@ -263,8 +245,7 @@ def settle(pairs: DataFrame, split: Split = None) -> DataFrame:
 
 def procedures(visible: DataFrame, split: Split = None) -> DataFrame:
     """All N2 procedures."""
-    pairs = paired_steps(visible, split)
-    return settle(cut_lineage(pairs) if split else pairs, split)
+    return settle(paired_steps(visible, split), split)
 
 
 def with_duration(procs: DataFrame) -> DataFrame:
@@ -275,33 +256,21 @@ def with_duration(procs: DataFrame) -> DataFrame:
         F.when(end.isNotNull() & (end != 0), (end - F.col("start_ts")) * 1000.0))
 
 
-def visible_messages(messages: DataFrame, split: Split = None,
-                     run_split: Split = None) -> DataFrame:
+def visible_messages(messages: DataFrame, split: Split = None) -> DataFrame:
     """Device messages with flow_id and only the payloads that could be read."""
-    if split is None or run_split is None:
-        split, run_split = measure(key_messages(messages))
-    assigned = assign_flows(messages, split, run_split)
-    visible = resolve_visibility(cut_lineage(assigned) if split else assigned, split)
-    return cut_lineage(visible) if split else visible
+    return resolve_visibility(assign_flows(messages, split))
 
 
-def analyze(messages: DataFrame, split: Split = None, run_split: Split = None
+def analyze(messages: DataFrame, split: Split = None
             ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages with flows and visible payloads, the flow table, the procedures.
 
     All three come from the message table, which is written once for them.
     """
-    if split is None or run_split is None:
-        split, run_split = measure(key_messages(messages))
-    visible = visible_messages(messages, split, run_split)
-    if not split:
-        visible = cut_lineage(visible)
+    visible = cut_lineage(visible_messages(messages, split))
     return visible, flow_attributes(visible), procedures(visible, split)
 
 
-def analyze_procedures(messages: DataFrame, split: Split = None,
-                       run_split: Split = None) -> DataFrame:
-    """The procedures alone, in one pass."""
-    if split is None or run_split is None:
-        split, run_split = measure(key_messages(messages))
-    return procedures(visible_messages(messages, split, run_split), split)
+def analyze_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
+    """The procedures alone; only what takes part in them is written."""
+    return procedures(visible_messages(messages, split), split)

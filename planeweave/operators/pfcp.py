@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.functions.scan import Split, count_before, position, scan
-from planeweave.session import cut_lineage
+from planeweave.functions.scan import Split, count_before, dealt, position, scan
+from planeweave.session import written
 
 # Request message type -> procedure kind; the response type is one higher.
 REQUEST_KINDS = {
@@ -79,8 +79,6 @@ def pair_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
     linked = ["flow_id"] if "flow_id" in messages.columns else []
     rounds = scan(exchanges(messages), PAIR_KEY, "msg_no", split=split,
                   round=count_before(F.col("role") == "response"))
-    if split:
-        rounds = cut_lineage(rounds)
     no = F.col("msg_no")
     asks, answers = F.col("role") == "request", F.col("role") == "response"
     paired = rounds.groupBy(*PAIR_KEY, "round").agg(
@@ -109,17 +107,18 @@ def pair_procedures(messages: DataFrame, split: Split = None) -> DataFrame:
         *[F.coalesce(req[c], rsp[c]).alias(c) for c in linked])
 
 
-def in_order(procs: DataFrame, split: Split = None) -> DataFrame:
+def in_order(procs: DataFrame) -> DataFrame:
     """Number procedures by start time; answered ones first, in answer order (P5).
 
-    A run with very many procedures is cut by second of its start times.
+    Runs are cut by ranges of all of these, so any number of procedures may start at one time.
     """
     late = F.col("rsp_no").isNull()
     keyed = procs.select("*", F.when(late, 1).otherwise(0).alias("_late"),
                          F.coalesce("rsp_no", "req_no").alias("_arrival"))
-    return scan(keyed, ["run_id"], "start_ts", ties=("_late", "_arrival"), split=split,
-                bucket=F.floor("start_ts").cast("long"),
-                proc_no=position()).drop("_late", "_arrival")
+    ties = ("_late", "_arrival")
+    laid = dealt(written(keyed), ["run_id", "start_ts", *ties])
+    return scan(laid, ["run_id"], "start_ts", ties=ties, bucket=F.col("_part"),
+                proc_no=position()).drop(*ties, "_part")
 
 
 def unpaired_requests(procs: DataFrame) -> DataFrame:

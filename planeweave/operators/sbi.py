@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planeweave.functions import http
-from planeweave.functions.scan import Split, position, scan
+from planeweave.functions.scan import dealt, position, scan
+from planeweave.session import written
 
 STREAM_KEY = ["run_id", "conn", "stream_id"]
 
@@ -59,16 +60,17 @@ def body_lengths(frames: DataFrame) -> DataFrame:
     return frames.groupBy(*STREAM_KEY, "direction").agg(F.sum("length").alias("body_len"))
 
 
-def in_capture_order(messages: DataFrame, split: Split = None) -> DataFrame:
+def in_capture_order(messages: DataFrame) -> DataFrame:
     """`msg_no`, 0-based: by time; ties by connection, client side first, then
     position within the direction (B8).
 
-    Input rows carry `conn_first_no`, `dir_rank` and `seq_no`.  A run with very
-    many messages is cut by second.
+    Input rows carry `conn_first_no`, `dir_rank` and `seq_no`.  Runs are cut by ranges of
+    all of these, so any number of messages may share one time.
     """
-    numbered = scan(messages, ["run_id"], "ts", ties=("conn_first_no", "dir_rank", "seq_no"),
-                    split=split, bucket=F.floor("ts").cast("long"), _no=position())
-    return numbered.withColumn("msg_no", F.col("_no") - 1).drop("_no")
+    ties = ("conn_first_no", "dir_rank", "seq_no")
+    laid = dealt(written(messages), ["run_id", "ts", *ties])
+    numbered = scan(laid, ["run_id"], "ts", ties=ties, bucket=F.col("_part"), _no=position())
+    return numbered.withColumn("msg_no", F.col("_no") - 1).drop("_no", "_part")
 
 
 def pair_procedures(messages: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ REG, ACC, REJ = "5GMMRegistrationRequest", "5GMMRegistrationAccept", "5GMMRegist
 PREQ, PACC = "5GSMPDUSessionEstabRequest", "5GSMPDUSessionEstabAccept"
 
 
-def procs(df, split=False):
-    return rows(flows.analyze(df, split, split)[2], "kind", "start_no", "end_no", "outcome")
+def procs(df, split=None):
+    return rows(flows.analyze(df, split)[2], "kind", "start_no", "end_no", "outcome")
 
 
 def test_flow_key_is_unordered_ports_and_null_ran_is_its_own_key(spark):
@@ -69,7 +69,7 @@ def test_nas_end_on_the_carrier_message_suppresses_the_fallback(spark):
     assert procs(df) == [("registration", 0, 1, "accept")]
 
 
-@pytest.mark.parametrize("split", [False, 4])
+@pytest.mark.parametrize("split", [None, 4])
 def test_pairs_of_random_flows_keep_the_rules(spark, split):
     rng = random.Random(3)
     starts, ends = flows.NAS_START, {k: (flows.NAS_ACCEPT[k], flows.NAS_REJECT[k]) for k in flows.NAS_START}
@@ -79,7 +79,7 @@ def test_pairs_of_random_flows_keep_the_rules(spark, split):
         ue, name = rng.choice([1, 1, 1, *range(2, 40)]), rng.choice(names)
         made.append({"ran_ue_id": ue, "ngap": None, "nas": nas(name) if name else None})
         by_flow.setdefault(ue, []).append((no, name))
-    _, _, found = flows.analyze(n2(spark, made), split, split)
+    _, _, found = flows.analyze(n2(spark, made), split)
     order = {i + 1: ue for i, ue in enumerate(by_flow)}
     got = {}
     for flow, kind, start, end, outcome in rows(found, "flow_id", "kind", "start_no", "end_no", "outcome"):
@@ -121,6 +121,6 @@ def test_next_terminal_gap(spark):
     df = n2(spark, [{"nas": nas(REG), "ts": 0.0}, {"nas": nas(REG), "ts": 6.0},
                     {"nas": nas(REJ), "ts": 10.0}, {"nas": nas(REG), "ts": 11.0}])
     name = F.col("nas")["name"]
-    for split in (False, 2):
+    for split in (None, 2):
         gaps = kpi.next_terminal_gap(df, ["run_id"], name == REG, name == REJ, split=split)
         assert rows(gaps, "msg_no", "gap_s") == [(0, 10.0), (1, 4.0), (3, None)]

@@ -15,7 +15,7 @@ RSP = {"src_ip": "u", "dst_ip": "s", "msg_type": 51}
 
 def test_retransmit_burst_is_one_timeout_from_the_first_send(spark):
     df = n4(spark, [{"ts": 0.0}, {"ts": 2.5}, {"ts": 5.0}, {"ts": 7.5}])
-    for split in (False, 2):
+    for split in (None, 2):
         p = pfcp.pair_procedures(df, split).collect()
         assert [(x.outcome, x.start_ts, x.end_ts, x.end_msg, x.sends) for x in p] == [
             ("timeout", 0.0, 0.0, None, 4)]
@@ -39,7 +39,7 @@ def test_retransmit_flag_ignores_ports_and_type(spark):
         False, True, False, True]
 
 
-@pytest.mark.parametrize("split", [False, 5])
+@pytest.mark.parametrize("split", [None, 5])
 def test_pfcp_pairs_keep_the_rules(spark, split):
     rng = random.Random(11)
     made = []
@@ -64,8 +64,44 @@ def test_pfcp_pairs_keep_the_rules(spark, split):
         first = [min((q for q in asked if low < q < high), default=None) for low, high in zip(cuts, cuts[1:])]
         assert own == [(q, high if high < len(made) else None)
                        for q, high in zip(first, cuts[1:]) if q is not None]
-    assert rows(pfcp.in_order(found, split), "proc_no", "req_no") == rows(
-        pfcp.in_order(found, False), "proc_no", "req_no")
+
+
+def _many_ranges(spark, make):
+    """Few rows would be joined to one range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return make()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_procedures_of_one_time_are_numbered_in_answer_order(spark):
+    rng = random.Random(5)
+    made = [("r", 7.5 if k % 3 else float(k), k, None if rng.random() < .3 else 1_000 + rng.randrange(999)) for k in range(300)]
+    procs = spark.createDataFrame(made, "run_id string, start_ts double, req_no bigint, rsp_no bigint").repartition(3)
+    want = sorted(made, key=lambda r: (r[1], r[3] is None, r[2] if r[3] is None else r[3]))
+    got = _many_ranges(spark, lambda: pfcp.in_order(procs).orderBy("proc_no").collect())
+    assert [r.proc_no for r in got] == list(range(1, 301))
+    place = lambda ts, ask, answer: (ts, answer is None, ask if answer is None else answer)
+    assert [place(r.start_ts, r.req_no, r.rsp_no) for r in got] == [place(*r[1:]) for r in want]
+
+
+def test_messages_of_one_time_keep_connection_and_place(spark):
+    made = [("r", 5.0, c, side, seq) for c in (3, 1, 2) for side in (1, 0) for seq in range(40)] + [("r", 1.0, 9, 0, 0)]
+    frames = spark.createDataFrame(made, "run_id string, ts double, conn_first_no bigint, dir_rank int, seq_no bigint")
+    got = _many_ranges(spark, lambda: plane.in_capture_order(frames.repartition(3)).orderBy("msg_no").collect())
+    assert [tuple(r)[:5] for r in got] == sorted(made) and [r.msg_no for r in got] == list(range(len(made)))
+
+
+def test_refs_of_a_flow_in_parts(spark):
+    made = [("r", k % 2 + 1, k) for k in range(90)]
+    links = spark.createDataFrame(made, "run_id string, flow_id bigint, msg_no bigint")
+    for split in (None, 7):
+        got = correlate.flow_refs(links, 20, split).collect()
+        for flow in (1, 2):
+            parts = [r.refs for r in sorted(got, key=lambda r: r.part) if r.flow_id == flow]
+            assert [len(p) for p in parts] == [20, 20, 5]
+            assert sum(parts, []) == [no for _, f, no in made if f == flow]
 
 
 def test_service_names(spark):
@@ -130,9 +166,8 @@ def test_ambiguous_identity_links_nothing(spark):
                       {**back, "stream_id": 3, "note": "stream reset"}])
     visible = _linked(spark, [(1, "999700000000001"), (2, "999700000000001"),
                               (3, "999700000000002")])
-    for split in (False, 2):
-        linked = correlate.sbi_with_flow(plane.name_messages(raw), visible, split)
-        assert rows(correlate.links(linked), "msg_no", "flow_id") == [(2, 3), (3, 3), (4, 3)]
+    linked = correlate.sbi_with_flow(plane.name_messages(raw), visible)
+    assert rows(correlate.links(linked), "msg_no", "flow_id") == [(2, 3), (3, 3), (4, 3)]
 
 
 def test_message_whose_keys_span_flows_links_none(spark):

@@ -22,12 +22,11 @@ def specs():
         "any": s.any_ahead(F.col("f")), "cnt": s.count_before(F.col("f")), "no": s.position()}
 
 
-@pytest.mark.parametrize("width", [1, 7, 100_000])
-def test_split_scan_equals_plain_and_a_loop(spark, width):
+@pytest.mark.parametrize("width", [1, 7, 100_000, None])
+def test_scan_equals_a_loop(spark, width):
     df = _data(spark)
-    plain = {r.o: r.asDict() for r in s.scan(df, ["k"], "o", split=False, **specs()).collect()}
-    split = {r.o: r.asDict() for r in s.scan(df, ["k"], "o", split=width, **specs()).collect()}
-    assert plain == split and len(plain) == 300
+    plain = {r.o: r.asDict() for r in s.scan(df, ["k"], "o", split=width, **specs()).collect()}
+    assert len(plain) == 300
     groups = {}
     for r in sorted(df.collect(), key=lambda r: r.o):
         groups.setdefault(r.k, []).append(r)
@@ -45,12 +44,6 @@ def test_split_scan_equals_plain_and_a_loop(spark, width):
             assert got["no"] == i + 1
 
 
-def test_crowded_measures_the_largest_key(spark):
-    df = _data(spark)
-    assert s.crowded(df, ["k"], 100) and not s.crowded(df, ["k"], 300)
-    assert s.split_width(df, ["k"], None) is None and s.split_width(df, ["k"], 5) == 5
-
-
 def test_top_rows_limits_each_task_before_the_shuffle(spark):
     top = top_rows(_data(spark), ["k"], ["o"], 2)
     plan = top._jdf.queryExecution().executedPlan().toString()
@@ -66,6 +59,6 @@ def test_dealt_ranges_split_a_key(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert laid.filter("k = 'h'").select("_part").distinct().count() > 1
     more = {"total": s.total_to(F.col("w")), "mixed": s.xor_to(F.xxhash64("o"))}
-    got = s.scan(laid, ["k"], "o", split=1, bucket=F.col("_part"), **specs(), **more).drop("_part")
-    want = s.scan(df, ["k"], "o", split=False, **specs(), **more)
+    got = s.scan(laid, ["k"], "o", bucket=F.col("_part"), **specs(), **more).drop("_part")
+    want = s.scan(df, ["k"], "o", **specs(), **more)
     assert {r.o: r for r in got.collect()} == {r.o: r for r in want.collect()}

@@ -106,7 +106,7 @@ def pieces(rng, n):
     return out
 
 
-@pytest.mark.parametrize("split", [False, 7])
+@pytest.mark.parametrize("split", [None, 7])
 def test_reassembly_of_any_chunk_number(spark, split):
     made = pieces(random.Random(8), 60)
     want, open_ = [], {}
