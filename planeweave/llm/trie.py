@@ -45,7 +45,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))).alias("digest"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
     laid = dealt(turns, ["conv_id", "turn", "digest"])
-    return scan(laid, ["conv_id"], "turn", ties=("digest",), split=1, bucket=F.col("_part"),
+    return scan(laid, ["conv_id"], "turn", ties=("digest",), bucket=F.col("_part"),
                 no=position()).select("conv_id", "no", "digest", "words")
 
 
@@ -83,7 +83,7 @@ def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
     """Add `value`: the place, from 1, of the row's `by` among the different ones."""
     different = dealt(df.select(*by).distinct(), by)
     first = by[0]
-    placed = scan(different, [], first, ties=by[1:], split=1, bucket=F.col("_part"), value=position()).drop("_part")
+    placed = scan(different, [], first, ties=by[1:], bucket=F.col("_part"), value=position()).drop("_part")
     return df.join(stored(placed, "trie-values"), by)
 
 
@@ -106,7 +106,7 @@ def _sorted(classes: DataFrame, steps: DataFrame, longest: int, block: int) -> D
         blocks = -(-blocks // 2)
     # The class without turns has no value and comes first.
     laid = dealt(classes.join(keys.select("rep", "value"), "rep", "left"), ["value"])
-    return scan(laid, [], "value", split=1, bucket=F.col("_part"), rank=position()).withColumn(
+    return scan(laid, [], "value", bucket=F.col("_part"), rank=position()).withColumn(
         "rank", F.col("rank") - 1).drop("value", "_part")
 
 
