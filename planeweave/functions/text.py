@@ -39,6 +39,15 @@ def or_none(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
+def plain_number(value: Column) -> Column:
+    """A double as text with its shortest digits and a point, never with an exponent."""
+    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", "")
+    size = F.abs(value)
+    plain = ((size >= 1e-3) & (size < 1e7)) | (size == 0)
+    return F.when(plain, value.cast("string")).otherwise(
+        F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits))
+
+
 def text_of(*parts: Column | str) -> Column:
     """Parts put together; null when a part is null."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

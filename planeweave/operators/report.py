@@ -1,8 +1,8 @@
 """Incident reports as line tables.
 
 A report line is (run_id, incident_no, section, line_no, text); sorting by these
-columns gives the document.  Nothing is gathered per run: a text sink writes
-range-sorted partitions.
+columns gives the document.  Nothing is gathered per run; `sources.documents`
+writes the documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.functions.text import fixed, or_mark, or_none, text_of
+from planeweave.functions.text import fixed, or_mark, or_none, plain_number, text_of
 from planeweave.operators.memory import is_valid
 
 # Who sends which message.
@@ -198,8 +198,10 @@ def spec_context(asked: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def kpi_line(kpis: DataFrame) -> DataFrame:
     """The run's indicators in fixed order."""
-    present = [c for c in KPI_ORDER if c in kpis.columns]
-    shown = [text_of(f"{c}: ", or_none(F.col(c))) for c in present]
+    kinds = dict(kpis.dtypes)
+    present = [c for c in KPI_ORDER if c in kinds]
+    shown = [text_of(f"{c}: ", or_none(plain_number(F.col(c)) if kinds[c] == "double" else F.col(c)))
+             for c in present]
     return kpis.select("run_id", (F.concat_ws(" | ", *shown) if shown else F.lit(
         "(no KPIs in this capture)")).alias("text"))
 
@@ -237,18 +239,22 @@ def _flow_label() -> Column:
 
 
 def assemble(results: DataFrame, evidence: DataFrame, flow_lines: DataFrame, kpis: DataFrame,
-             spec: DataFrame | None = None) -> DataFrame:
+             spec: DataFrame | None = None, plane_lines: DataFrame | None = None,
+             repeat_planes: bool = True) -> DataFrame:
     """The report lines of every run.
 
     `results`: run_id, incident_no, plane, flow_id, procedure, shape, detail,
     episode fields (incident_type, narrative, cited_evidence; null without one),
     reward, rollouts, trajectory, memory_wrote.  `evidence`: run_id, incident_no,
-    line_no, text (W4).  `flow_lines`: W2.  `spec`: W5.
+    line_no, text (W4).  `flow_lines`: W2.  `spec`: W5.  `plane_lines`: run_id,
+    plane, line_no, text (W3).
 
     A run with one incident gets the single form, with more the overview table
     and a chapter each.  The timeline of an SBI or N4 incident is that of its
-    whole plane; it is written once per run and plane (see `plane_timelines`)
-    and named here, instead of being repeated for every incident.
+    whole plane.  With `repeat_planes` every such incident holds it, so a run's
+    report grows with its incidents times its messages; without, a report of
+    several incidents names it and holds each plane's once, after the last
+    incident.
     """
     key = ["run_id", "incident_no"]
     sizes = results.groupBy("run_id").agg(F.count(F.lit(1)).alias("incidents"))
@@ -284,7 +290,8 @@ def assemble(results: DataFrame, evidence: DataFrame, flow_lines: DataFrame, kpi
         F.lit("No hypothesis: the LATS search completed no finalize.")))
     named = F.when(other, text_of(" Timeline (", F.upper("plane"), ")")).otherwise(
         text_of(" Timeline (flow ", or_none(F.col("flow_id")), ")"))
-    pointer = F.when(other, text_of("(see timeline ", F.upper("plane"), " of the run)"))
+    apart = other & ~single & F.lit(not repeat_planes)
+    pointer = F.when(apart, text_of("(see Timeline (", F.upper("plane"), ") after the last incident)"))
     uncited = F.when(F.size(F.coalesce("cited_evidence", F.array().cast(
         results.schema["cited_evidence"].dataType))) == 0, "(none cited)")
     fixed_lines = F.array(
@@ -316,6 +323,9 @@ def assemble(results: DataFrame, evidence: DataFrame, flow_lines: DataFrame, kpi
         *key, F.lit(KPIS).alias("section"), F.col("pos").cast("long").alias("line_no"), "text")
     whole = (own.unionByName(placed(evidence, EVIDENCE)).unionByName(closing(EVIDENCE))
              .unionByName(placed(timelines, TIMELINE)).unionByName(indicators))
+    if plane_lines is not None:
+        whole = whole.unionByName(placed(_plane_timelines(known.filter(other & ~apart), plane_lines), TIMELINE))
+        whole = whole.unionByName(_plane_chapters(known.filter(apart), plane_lines))
     if spec is not None:
         heads = known.join(spec.select(*key).distinct(), key).select(
             *key, F.lit(SPEC).alias("section"), F.lit(0).cast("long").alias("line_no"),
@@ -326,6 +336,30 @@ def assemble(results: DataFrame, evidence: DataFrame, flow_lines: DataFrame, kpi
     return whole.unionByName(_overview(known))
 
 
+def _plane_timelines(known: DataFrame, plane_lines: DataFrame) -> DataFrame:
+    """The whole plane's lines for every incident; a plane without messages says so."""
+    key, plane = ["run_id", "incident_no"], ["run_id", "plane"]
+    shown = known.select(*key, "plane").join(plane_lines, plane).select(*key, "line_no", "text")
+    silent = known.join(plane_lines.select(*plane).distinct(), plane, "left_anti").select(
+        *key, F.lit(0).cast("long").alias("line_no"),
+        text_of("(no ", F.upper("plane"), " messages in this capture)").alias("text"))
+    return shown.unionByName(silent)
+
+
+def _plane_chapters(known: DataFrame, plane_lines: DataFrame) -> DataFrame:
+    """One chapter for each plane that incidents name, N4 before SBI, after the last of them."""
+    after = known.groupBy("run_id", "plane").agg(
+        (F.max("incidents") + F.when(F.col("plane") == "n4", 1).otherwise(2)).alias("incident_no"))
+    place = ["run_id", "incident_no", F.lit(TIMELINE).alias("section")]
+    head = after.select(*place, F.posexplode(F.array(
+        text_of("## Timeline (", F.upper("plane"), ")"), F.lit(""))).alias("pos", "text")).select(
+        "run_id", "incident_no", "section", F.col("pos").cast("long").alias("line_no"), "text")
+    lines = _plane_timelines(after, plane_lines).select(
+        *place, (F.col("line_no") + 100).alias("line_no"), "text")
+    close = after.select(*place, F.lit(1_000_000_000).cast("long").alias("line_no"), F.lit("").alias("text"))
+    return head.unionByName(lines).unionByName(close)
+
+
 def _overview(known: DataFrame) -> DataFrame:
     """Title and table of a run with several incidents, as incident 0."""
     many = known.filter(F.col("incidents") > 1)

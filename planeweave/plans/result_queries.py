@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planeweave.functions.scan import position, scan
-from planeweave.operators import evaluate, evidence, flows, incidents, kpi, pfcp, report
+from planeweave.functions.scan import dealt, position, scan
+from planeweave.operators import correlate, evaluate, evidence, flows, incidents, kpi, kpi_state, pfcp, report
 from planeweave.operators.incidents import INCIDENT_TYPES
 from planeweave.plans import bridges as b
-from planeweave.plans.n2_queries import run_kpis
+from planeweave.plans.n2_queries import RUN_KPIS, run_kpis
 from planeweave.plans.oracle import block
-from planeweave.plans.plane_queries import sbi_messages
+from planeweave.plans.plane_queries import K3_GAPS, sbi_messages
 from planeweave.plans.registry import query
-from planeweave.plans.incident_queries import citations, located_names, union_of_planes
-from planeweave.session import cut_lineage
+from planeweave.plans.incident_queries import citations, located_names, plane_procedures, union_of_planes
+from planeweave.session import cut_lineage, written
 
 # Entries: one per order; hypotheses: one per line item, with raw scores.
 _TYPES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(INCIDENT_TYPES))
@@ -227,7 +227,7 @@ def _(spark, d):
                                 flows.flow_attributes(visible))
 
 
-@query("w3_plane_timelines", f"""SELECT m.run_id, 'sbi' AS plane, m.i AS line_no, '[' || m.i || '] '
+_PLANE_LINES = f"""SELECT m.run_id, 'sbi' AS plane, m.i AS line_no, '[' || m.i || '] '
       || {_TS} || 's  ' || CASE WHEN direction = 'request' THEN coalesce(method, '?') || ' ' || path
       || {_sbi_over('name')} || ' -> ' || coalesce((SELECT CAST(arg_max_null(r.status, r.msg_no)
         AS VARCHAR) FROM sbinum r WHERE r.run_id = m.run_id AND r.direction = 'response'
@@ -242,13 +242,18 @@ def _(spark, d):
         AND r.src_ip = m.dst_ip AND r.src_port = m.dst_port AND r.dst_ip = m.src_ip
         AND r.dst_port = m.src_port AND r.seq = m.seq), 'no response')
       ELSE '-> ' || coalesce(cause, '?') || ' (' || coalesce(name, '?') || {_n4_over('name')} || ')'
-      END FROM n4num m""")
-def _(spark, d):
+      END FROM n4num m"""
+
+
+def plane_timelines(spark, d):
     http = report.sbi_timeline(evidence.numbered(sbi_messages(spark, d)))
     n4 = report.n4_timeline(evidence.numbered(b.n4(spark, d)))
     return http.withColumn("plane", F.lit("sbi")).unionByName(n4.withColumn("plane", F.lit("n4")))
 
 
+query("w3_plane_timelines", _PLANE_LINES)(plane_timelines)
+
+
 @query("w4_evidence_lines", f"""SELECT cite_id, '- [' || CASE WHEN grounded THEN 'verified'
       ELSE 'unverified' END || '] ' || message || CASE WHEN plane = 'n2' THEN {_n2_over('carrier')}
       WHEN plane = 'n4' THEN {_n4_over('message')} WHEN plane = 'sbi' THEN {_sbi_over('message')}
@@ -292,44 +297,118 @@ def _(spark, d):
         report.memory_line(F.lit("kind"), F.col("good"), F.col("wrote")).alias("memory"))
 
 
-@query("w6_kpi_line", """SELECT run_id, 'procedure_successes: ' || procedure_successes
-    || ' | procedure_failures: ' || procedure_failures AS text FROM (SELECT r.run_id,
-    count(CASE WHEN outcome = 'accept' THEN 1 END) AS procedure_successes,
-    count(CASE WHEN outcome = 'reject' THEN 1 END) AS procedure_failures
-    FROM (SELECT DISTINCT run_id FROM n2attr) r LEFT JOIN n2proc USING (run_id) GROUP BY 1)""")
+# Reports show the indicators with as many digits as the indicator queries.
+_SHOWN = {"attach_time_ms": 3, "pdu_session_time_ms": 3, "procedure_success_rate": 6}
+
+
+def shown_kpis(kpis):
+    return kpis.select("run_id", *[F.round(c, _SHOWN[c]).alias(c) if c in _SHOWN else F.col(c)
+                                   for c in report.KPI_ORDER])
+
+
+block("kpiline", f"""SELECT run_id, {" || ' | ' || ".join(
+    f"'{c}: ' || coalesce(CAST(" + (f"round({c}, {_SHOWN[c]})" if c in _SHOWN else c)
+    + " AS VARCHAR), 'None')" for c in report.KPI_ORDER)} AS text FROM ({RUN_KPIS})""")
+
+
+@query("w6_kpi_line", "SELECT run_id, text FROM kpiline")
 def _(spark, d):
-    kpis = run_kpis(spark, d).select("run_id", "procedure_successes", "procedure_failures")
-    return report.kpi_line(kpis)
+    return report.kpi_line(shown_kpis(run_kpis(spark, d)))
 
 
-def report_results(visible, table, procs):
-    """Every incident as a result; its first message is the cited evidence."""
-    cases = incidents.classify_flows(incidents.flow_cases(visible, table, procs))
-    first = visible.select("run_id", F.col("msg_no").alias("source_no"), F.col("ngap"), "ts")
-    numbered = scan(cases, ["run_id"], "source_no", incident_no=position())
-    cited = F.array(F.struct(F.coalesce("ngap", F.lit("?")).alias("message"),
+@query("e1_kpi_lines", f"""SELECT run_id, 'kpis' AS handle, CAST(unnest([{", ".join(
+    str(i + 1) for i in range(len(report.KPI_ORDER)))}]) AS BIGINT) AS line_no,
+    unnest([{", ".join(f"'  {c}=' || coalesce(" + (
+        f"printf('%.3f', round({c}, {_SHOWN[c]}))" if c in _SHOWN else f"CAST({c} AS VARCHAR)")
+        + ", 'None')" for c in report.KPI_ORDER)}]) AS text FROM ({RUN_KPIS})""")
+def _(spark, d):
+    return evidence.kpi_lines(shown_kpis(run_kpis(spark, d)), report.KPI_ORDER)
+
+
+@query("k3_maintained_indicators", f"""SELECT k.run_id, round(attach_time_ms, 3) AS attach_time_ms, attach_n,
+    round(pdu_session_time_ms, 3) AS pdu_session_time_ms, pdu_session_n, procedure_successes, procedure_failures,
+    round(procedure_success_rate, 6) AS procedure_success_rate, round(sbi_to_n4_ms, 3) AS sbi_to_n4_ms,
+    round(n4_to_n2_ms, 3) AS n4_to_n2_ms, round(sbi_to_n2_ms, 3) AS sbi_to_n2_ms
+    FROM ({RUN_KPIS}) k JOIN (SELECT run_id, avg(sbi_to_n4_ms) AS sbi_to_n4_ms, avg(n4_to_n2_ms) AS n4_to_n2_ms,
+      avg(sbi_to_n2_ms) AS sbi_to_n2_ms FROM ({K3_GAPS}) GROUP BY 1) g USING (run_id)""")
+def _(spark, d):
+    """Half of the flows are counted twice, first as if their last procedure was not known yet."""
+    visible, table, procs = flows.analyze(b.n2(spark, d))
+    gaps = kpi.cross_plane_kpis(visible, correlate.sbi_with_flow(sbi_messages(spark, d), visible),
+                                correlate.n4_with_flow(b.n4(spark, d), visible), by_flow=True)
+    half = F.col("flow_id") % 2 == 0
+    early = kpi_state.flow_states(table, procs.filter(~half | (F.col("proc_no") == 1)), None, version=1)
+    late = kpi_state.flow_states(table, procs, gaps, version=2)
+    kept = kpi_state.merge(kpi_state.merge(late.filter("ran_key % 2 = 0"), early), late.filter("ran_key % 2 <> 0"))
+    return kpi_state.indicators(kept).select(
+        "run_id", "attach_n", "pdu_session_n", "procedure_successes", "procedure_failures",
+        F.round("procedure_success_rate", 6).alias("procedure_success_rate"),
+        *[F.round(c, 3).alias(c) for c in kpi_state.MEANS.values()])
+
+
+def report_results(spark, d, visible, table, procs):
+    """Every incident of every plane as a result; its first message is the cited evidence."""
+    n4, http = b.n4(spark, d), sbi_messages(spark, d)
+    n4_procs, http_procs = plane_procedures(spark, d, visible)
+    cases = incidents.classify_flows(incidents.flow_cases(visible, table, procs)).withColumn("plane", F.lit("n2"))
+    planes = incidents.classify_planes(incidents.n4_incidents(n4_procs).unionByName(incidents.sbi_incidents(http_procs)))
+    cols = ["run_id", "plane", "flow_id", "procedure", "shape", "detail", "source_no", "incident_type"]
+    rank = F.when(F.col("plane") == "n2", 0).when(F.col("plane") == "n4", 1).otherwise(2)
+    every = written(cases.select(*cols).unionByName(planes.select(*cols)).withColumn("plane_rank", rank))
+    laid = dealt(every, ["run_id", "plane_rank", "source_no"])
+    numbered = scan(laid, ["run_id"], "plane_rank", ties=("source_no",), bucket=F.col("_part"), incident_no=position())
+
+    def first(messages, plane, name):
+        return messages.select("run_id", F.lit(plane).alias("plane"), F.col("msg_no").alias("source_no"),
+                               F.col(name).alias("message"), "ts")
+
+    firsts = first(visible, "n2", "ngap").unionByName(first(n4, "n4", "name")).unionByName(first(http, "sbi", "name"))
+    cited = F.array(F.struct(F.coalesce("message", F.lit("?")).alias("message"),
                              F.lit(None).cast("int").alias("cause"), "ts"))
-    return numbered.join(first, ["run_id", "source_no"]).select(
-        "run_id", "incident_no", F.lit("n2").alias("plane"), "flow_id", "procedure", "shape",
-        "detail", "incident_type",
-        F.when(F.col("incident_type").isNotNull(), F.concat(
-            F.lit("Flow failed: "), F.col("procedure"))).alias("narrative"),
-        F.when(F.col("incident_type").isNotNull(), cited).alias("cited_evidence"),
+    known = F.col("incident_type").isNotNull()
+    return numbered.join(firsts, ["run_id", "plane", "source_no"]).select(
+        "run_id", "incident_no", "plane", "flow_id", "procedure", "shape", "detail", "incident_type",
+        F.when(known, F.concat(F.lit("Flow failed: "), F.col("procedure"))).alias("narrative"),
+        F.when(known, cited).alias("cited_evidence"),
         F.lit(1.0).alias("reward"), F.lit(1).alias("rollouts"),
         F.lit(None).cast("array<array<string>>").alias("trajectory"),
         F.lit(True).alias("memory_wrote"))
 
 
-block("resultrow", """SELECT c.run_id, c.flow_id, c.procedure, c.detail, m.ngap, m.ts, m.src_ip,
-    m.dst_ip, row_number() OVER (PARTITION BY c.run_id ORDER BY c.source_no) AS incident_no,
-    count(*) OVER (PARTITION BY c.run_id) AS incidents, CASE
+block("resultrow", f"""SELECT run_id, plane, flow_id, procedure, shape, detail, type, coalesce(message, '?') AS message, ts,
+    row_number() OVER (PARTITION BY run_id ORDER BY plane_rank, source_no) AS incident_no,
+    count(*) OVER (PARTITION BY run_id) AS incidents, CASE WHEN plane = 'n2' THEN 'flow ' || flow_id
+      ELSE upper(plane) || ' — ' || procedure || coalesce(' (flow ' || flow_id || ')', '') END AS label
+    FROM (SELECT run_id, 'n2' AS plane, 0 AS plane_rank, flow_id, procedure, shape, detail, source_no, CASE
       WHEN auth_failure THEN 'auth_failure' WHEN registration_reject THEN 'registration_reject'
       WHEN slice_status THEN 'pdu_session_reject_slice'
       WHEN session_reject THEN 'pdu_session_reject_other'
       WHEN echoes > 1 AND echo_span >= 2 THEN 'pdu_session_timeout'
       WHEN registration_request AND NOT registration_end AND shape LIKE '%timeout%'
-        THEN 'registration_timeout' END AS type
-    FROM n2case c JOIN n2vis m ON m.run_id = c.run_id AND m.msg_no = c.source_no""")
+        THEN 'registration_timeout' END AS type FROM n2case UNION ALL
+      SELECT run_id, plane, CASE plane WHEN 'n4' THEN 1 ELSE 2 END, flow_id, procedure, shape, detail, source_no, CASE
+      WHEN plane = 'sbi' AND shape = 'explicit reject' AND procedure LIKE 'Nnssf_NSSelection%' THEN 'sbi_nssf_reject'
+      WHEN plane = 'sbi' AND shape <> 'explicit reject' AND regexp_matches(procedure, '^(Nudm|Nausf)_')
+        THEN 'sbi_udm_timeout'
+      WHEN plane = 'n4' AND shape <> 'explicit reject' THEN 'n4_upf_timeout' END
+      FROM (SELECT * FROM n4inc UNION ALL SELECT * FROM sbiinc)) c JOIN (
+      SELECT run_id, 'n2' AS plane, msg_no AS source_no, ngap AS message, ts FROM n2vis UNION ALL
+      SELECT run_id, 'n4', msg_no, name, ts FROM n4b UNION ALL
+      SELECT run_id, 'sbi', msg_no, name, ts FROM sbimsg) m USING (run_id, plane, source_no)""")
+block("resultcite", f"""SELECT g.run_id, g.incident_no, CASE WHEN g.type IS NULL THEN '(none cited)' ELSE '- ['
+      || CASE WHEN plane IS NULL THEN 'unverified' ELSE 'verified' END || '] ' || g.message
+      || CASE WHEN plane = 'n2' THEN {_n2_over('carrier')} WHEN plane = 'n4' THEN {_n4_over('message')}
+         WHEN plane = 'sbi' THEN {_sbi_over('message')} ELSE '' END || ' @ ' || {_TS} || 's' END AS text
+    FROM (SELECT r.run_id, r.incident_no, r.type, r.message, r.ts, n.plane, n.src_ip, n.dst_ip, m.ngap AS carrier,
+        s.direction FROM resultrow r LEFT JOIN (
+        SELECT c.incident_no, c.run_id, n.plane, n.msg_no, n.src_ip, n.dst_ip FROM resultrow c
+        JOIN evname n ON n.run_id = c.run_id AND n.name = c.message AND abs(n.ts - c.ts) < 5e-4
+        QUALIFY row_number() OVER (PARTITION BY c.run_id, c.incident_no
+          ORDER BY n.prank, n.forder, n.msg_no, n.pos) = 1) n ON n.run_id = r.run_id AND n.incident_no = r.incident_no
+      LEFT JOIN n2b m ON n.plane = 'n2' AND m.run_id = n.run_id AND m.msg_no = n.msg_no
+      LEFT JOIN sbimsg s ON n.plane = 'sbi' AND s.run_id = n.run_id AND s.msg_no = n.msg_no) g""")
+block("chapter", """SELECT run_id, plane, max(incidents) + CASE plane WHEN 'n4' THEN 1 ELSE 2 END AS no
+    FROM resultrow WHERE plane <> 'n2' GROUP BY 1, 2""")
 _LAST = "CAST(1000000000 AS BIGINT)"
 
 
@@ -346,32 +425,32 @@ def _lines(section: int, *texts: str) -> str:
         '| # | flow | hypothesis | reward | rollouts |',
         '|---|------|------------|--------|----------|', '']) AS text
       FROM (SELECT run_id, max(incidents) AS n FROM resultrow GROUP BY 1)
-    UNION ALL SELECT run_id, 0, 0, incident_no + 3, '| ' || incident_no || ' | ' || flow_id || ' | '
-      || coalesce(type, '—') || ' | 1.0 | 1 |' FROM resultrow
+    UNION ALL SELECT run_id, 0, 0, incident_no + 3, '| ' || incident_no || ' | ' || CASE WHEN plane = 'n2'
+      THEN CAST(flow_id AS VARCHAR) ELSE label END || ' | ' || coalesce(type, '—') || ' | 1.0 | 1 |' FROM resultrow
     UNION ALL {_lines(0, "'## Incident ' || incident_no || ' — ' || coalesce(type, 'no hypothesis')"
-                      " || ' — flow ' || flow_id", "''")}
+                      " || ' — ' || label", "''")}
     UNION ALL SELECT run_id, incident_no, 0, unnest([2, 3]), unnest(['**Incident detail:** '
       || detail, '']) FROM resultrow WHERE detail <> ''
     UNION ALL {_lines(1, "'### Root cause'", "CASE WHEN type IS NULL THEN 'No hypothesis: the LATS "
                       "search completed no finalize.' ELSE 'Flow failed: ' || procedure END", "''")}
     UNION ALL {_lines(2, "'### Evidence'")}
-    UNION ALL SELECT run_id, incident_no, 2, CASE WHEN type IS NULL THEN 1 ELSE 100 END,
-      CASE WHEN type IS NULL THEN '(none cited)' WHEN ngap IS NULL THEN '- [unverified] ? @ '
-        || {_TS} || 's' ELSE '- [verified] ' || ngap || {_n2_over('ngap')} || ' @ ' || {_TS} || 's'
-      END FROM resultrow
+    UNION ALL SELECT run_id, incident_no, 2, CASE WHEN text = '(none cited)' THEN 1 ELSE 100 END, text FROM resultcite
     UNION ALL SELECT run_id, incident_no, 2, {_LAST}, '' FROM resultrow
-    UNION ALL {_lines(4, "'### Timeline (flow ' || flow_id || ')'")}
+    UNION ALL {_lines(4, "'### Timeline (' || CASE WHEN plane = 'n2' THEN 'flow ' || flow_id ELSE upper(plane) END || ')'")}
+    UNION ALL SELECT run_id, incident_no, 4, 1, '(see Timeline (' || upper(plane) || ') after the last incident)'
+      FROM resultrow WHERE plane <> 'n2'
     UNION ALL SELECT r.run_id, r.incident_no, 4, t.line_no + 100, t.text FROM resultrow r JOIN (
       SELECT run_id, flow_id, i AS line_no, '[' || i || '] ' || {_TS} || 's  '
         || coalesce(v_inner, v_name, ngap, '?') || {_n2_over('ngap')}
         || coalesce('  cause #' || v_cause || ' (cause ' || v_cause || ')', '') AS text FROM n2num
         WHERE i <= 50 UNION ALL SELECT run_id, flow_id, 51, '... (' || messages - 50
         || ' more not shown)' FROM n2attr WHERE messages > 50) t
-      ON t.run_id = r.run_id AND t.flow_id = r.flow_id
-    UNION ALL {_lines(5, "''", "'### Capture KPIs'", "(SELECT 'procedure_successes: ' || "
-                      "count(CASE WHEN outcome = 'accept' THEN 1 END) || ' | procedure_failures: '"
-                      " || count(CASE WHEN outcome = 'reject' THEN 1 END) FROM n2proc p "
-                      "WHERE p.run_id = resultrow.run_id)")}
+      ON t.run_id = r.run_id AND t.flow_id = r.flow_id AND r.plane = 'n2'
+    UNION ALL SELECT run_id, no, 4, CAST(unnest([0, 1, 1000000000]) AS BIGINT),
+      unnest(['## Timeline (' || upper(plane) || ')', '', '']) FROM chapter
+    UNION ALL SELECT c.run_id, no, 4, t.line_no + 100, t.text FROM chapter c JOIN ({_PLANE_LINES}) t
+      ON t.run_id = c.run_id AND t.plane = c.plane
+    UNION ALL {_lines(5, "''", "'### Capture KPIs'", "(SELECT k.text FROM kpiline k WHERE k.run_id = resultrow.run_id)")}
     UNION ALL {_lines(6, "''", "'### Search path'",
                       "'(trajectory not recorded in this results file)'")}
     UNION ALL {_lines(7, "''", "'### Memory'", "CASE WHEN type IS NULL THEN 'no Episode written "
@@ -379,16 +458,15 @@ def _lines(section: int, *texts: str) -> str:
 def _(spark, d):
     visible, table, procs = flows.analyze(b.n2(spark, d))
     procs = cut_lineage(procs)
-    results = cut_lineage(report_results(visible, table, procs))
+    results = cut_lineage(report_results(spark, d, visible, table, procs))
     cites = results.filter(F.col("cited_evidence").isNotNull()).select(
         "run_id", "incident_no", F.posexplode("cited_evidence").alias("line_no", "e")).select(
         F.concat_ws("/", "run_id", "incident_no", "line_no").alias("cite_id"), "run_id",
         "incident_no", F.col("line_no").cast("long").alias("line_no"), "e.*")
-    names = evidence.located_names(visible)
+    names = located_names(spark, d)
     shown = evidence.locate(evidence.ground(cites, evidence.inventory(names)), names).select(
         "run_id", "incident_no", "line_no", report.evidence_line(F.col("grounded")).alias("text"))
     timeline = report.flow_timeline(evidence.numbered(visible, ["run_id", "flow_id"]), table)
-    return report.assemble(results, shown, timeline, kpi.run_kpis(procs, table).select(
-        "run_id", "procedure_successes", "procedure_failures"))
-
-
+    lines = report.assemble(results, shown, timeline, shown_kpis(kpi.run_kpis(procs, table)),
+                            plane_lines=plane_timelines(spark, d), repeat_planes=False)
+    return lines.unionByName(report.no_incident_lines(table, results))

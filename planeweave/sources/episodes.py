@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeweave import schemas
 from planeweave.operators import memory
+from planeweave.session import read_if_there
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -23,10 +23,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     Lines end at a line feed only: other separators are data.
     """
-    try:
-        return parse_lines(spark.read.option("lineSep", "\n").text(path))
-    except AnalysisException:
-        return spark.createDataFrame([], schemas.EPISODES)
+    lines = read_if_there(lambda: spark.read.option("lineSep", "\n").text(path))
+    return spark.createDataFrame([], schemas.EPISODES) if lines is None else parse_lines(lines)
 
 
 def append(episodes: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ import pytest
 from build import n2, nas, rows
 from pyspark.sql import functions as F
 
-from planeweave.operators import flows, kpi
+from planeweave.operators import flows, kpi, kpi_state
 
 REG, ACC, REJ = "5GMMRegistrationRequest", "5GMMRegistrationAccept", "5GMMRegistrationReject"
 PREQ, PACC = "5GSMPDUSessionEstabRequest", "5GSMPDUSessionEstabAccept"
@@ -124,3 +124,34 @@ def test_next_terminal_gap(spark):
     for split in (None, 2):
         gaps = kpi.next_terminal_gap(df, ["run_id"], name == REG, name == REJ, split=split)
         assert rows(gaps, "msg_no", "gap_s") == [(0, 10.0), (1, 4.0), (3, None)]
+
+
+def _signalled(rng, n, ues):
+    names = [REG, ACC, REJ, PREQ, PACC, None]
+    return [{"ts": k + rng.random() / 3, "ran_ue_id": rng.choice(ues), "nas": nas(rng.choice(names)), "msg_no": k,
+             "ngap": rng.choice(["InitialUEMessage", "InitialContextSetupRequest", "UplinkNASTransport"])} for k in range(n)]
+
+
+def _indicators(df):
+    return sorted((tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r)
+                   for r in df.select("run_id", "attach_time_ms", "attach_n", "pdu_session_time_ms", "pdu_session_n",
+                                      "procedure_successes", "procedure_failures", "procedure_success_rate").collect()), key=repr)
+
+
+def test_states_merge_in_any_order_and_take_late_messages(spark):
+    rng = random.Random(12)
+    made = _signalled(rng, 160, [1, 2, 3, 4, None]) + [{**m, "run_id": "s"} for m in _signalled(rng, 60, [1, 9])]
+    whole = n2(spark, made)
+    _, table, found = flows.analyze(whole)
+    want = _indicators(kpi.run_kpis(found, table))
+    late = whole.filter("run_id = 'r' AND ran_ue_id = 2 AND msg_no % 3 = 0 OR run_id = 's' AND ran_ue_id = 9 AND msg_no > 50")
+    early = whole.join(late, ["run_id", "msg_no"], "left_anti")
+    first = kpi_state.flow_states(*[flows.analyze(early)[k] for k in (1, 2)])
+    assert _indicators(kpi_state.indicators(first)) != want
+    again = kpi_state.recounted(whole, late, version=2)
+    assert {(r.run_id, r.ran_key) for r in again.collect()} == {("r", 2), ("s", 9)}
+    one, two = first.filter("ran_key % 2 = 0"), first.filter("ran_key % 2 <> 0")
+    for states in ([first, again], [again, two, one], [two, again, again, one, two]):
+        assert _indicators(kpi_state.indicators(kpi_state.merge(*states))) == want
+    step = kpi_state.merge(kpi_state.merge(two, again), one)
+    assert _indicators(kpi_state.indicators(step)) == want

@@ -1,10 +1,15 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from build import n2, n4, nas, rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from planeweave.functions.text import plain_number
 from planeweave.operators import evaluate, evidence, flows, incidents, memory, report, topology
+from planeweave.session import read_if_there
+from planeweave.sources import documents
 from planeweave.sources import episodes as store
 
 EPISODE = """id bigint, incident_type string, narrative string,
@@ -219,3 +224,107 @@ attach_time_ms: None | procedure_successes: 0 | procedure_failures: 1
 ## Memory
 new Episode written (registration_reject)
 """
+
+
+RESULT = """run_id string, incident_no bigint, plane string, flow_id bigint, procedure string,
+  shape string, detail string, incident_type string, narrative string,
+  cited_evidence array<struct<message: string, cause: int, ts: double>>, reward double,
+  rollouts int, trajectory array<array<string>>, memory_wrote boolean"""
+
+
+def _result(run, no, plane, flow, kind, procedure):
+    return (run, no, plane, flow, procedure, "no terminal message (timeout)", None, kind, kind and f"{procedure} failed.",
+            [("seen", None, None)] if kind else None, 0.5, 2, [], False)
+
+
+def _reported(spark, repeat):
+    """Documents of a run with one SBI incident, one with one N4 incident, one with several, one without messages of the
+    plane, and one without incidents."""
+    results = spark.createDataFrame([
+        _result("s", 1, "sbi", 3, "sbi_udm_timeout", "Nudm_SDM"), _result("n", 1, "n4", None, "n4_upf_timeout", "session_establishment"),
+        _result("m", 1, "n2", 1, None, "Registration"), _result("m", 2, "n4", 2, "n4_upf_timeout", "session_establishment"),
+        _result("m", 3, "sbi", None, "sbi_udm_timeout", "Nausf_UEAuthentication"), _result("m", 4, "sbi", 1, "sbi_nssf_reject", "Nnssf_NSSelection"),
+        _result("q", 1, "sbi", 1, "sbi_udm_timeout", "Nudm_SDM")], RESULT)
+    planes = [(run, plane, i, f"[{i}] {plane} of {run}") for run, plane in (("s", "sbi"), ("n", "n4"), ("m", "n4"), ("m", "sbi"))
+              for i in (1, 2)]
+    plane_lines = spark.createDataFrame(planes, "run_id string, plane string, line_no bigint, text string")
+    flow_lines = spark.createDataFrame([("m", 1, 1, "[1] flow 1")], "run_id string, flow_id bigint, line_no bigint, text string")
+    kpis = spark.createDataFrame([("m", 12_345_678.5, 0.5, 3, 3), ("s", None, None, 0, 0)], "run_id string, attach_time_ms double, "
+                                 "procedure_success_rate double, procedure_successes bigint, procedure_failures bigint")
+    cited = results.filter("incident_type IS NOT NULL").select(
+        "run_id", "incident_no", F.lit(0).cast("long").alias("line_no"), F.lit("- [unverified] seen").alias("text"))
+    lines = report.assemble(results, cited, flow_lines, kpis, plane_lines=plane_lines, repeat_planes=repeat)
+    runs = spark.createDataFrame([("s",), ("e",), ("e",)], "run_id string")
+    return lines.unionByName(report.no_incident_lines(runs, results))
+
+
+def _incident(marks, root, title, timeline, kind, kpis):
+    return [f"{marks} Root cause", root, "", f"{marks} Evidence", "- [unverified] seen" if kind else "(none cited)", "", f"{marks} Timeline ({title})", *timeline, "",
+            f"{marks} Capture KPIs", kpis, "", f"{marks} Search path", "(no trajectory — the search exhausted its rollouts)", "",
+            f"{marks} Memory", f"Episode already recorded ({kind}) — not rewritten" if kind else "no Episode written (no hypothesis)", ""]
+
+
+@pytest.mark.parametrize("repeat", [True, False])
+def test_report_documents_of_all_planes(spark, tmp_path, repeat):
+    lines = _reported(spark, repeat).repartition(5)
+    documents.write_documents(lines, str(tmp_path / "reports"))
+    got = {r.run_id: r.document for r in documents.read_documents(spark, str(tmp_path / "reports")).collect()}
+    assert set(got) == {"s", "n", "m", "q", "e"}
+    assert got["e"] == "# Post-incident report — no incidents\n\nNo failed Incidents to report.\n"
+
+    def single(run, plane, label, kind, procedure, timeline, kpis):
+        top = [f"# Post-incident report — {kind}", "", f"**Flow:** {label}, no terminal message (timeout)",
+               f"**Hypothesis:** {kind} (reward 0.5, 2 rollouts)", ""]
+        assert got[run] == "\n".join(top + _incident("##", f"{procedure} failed.", plane.upper(), timeline, kind, kpis)).rstrip() + "\n"
+
+    silent = "(no KPIs in this capture)"
+    single("s", "sbi", "SBI — Nudm_SDM (flow 3)", "sbi_udm_timeout", "Nudm_SDM", ["[1] sbi of s", "[2] sbi of s"],
+           "attach_time_ms: None | procedure_success_rate: None | procedure_successes: 0 | procedure_failures: 0")
+    single("n", "n4", "N4 — session_establishment", "n4_upf_timeout", "session_establishment", ["[1] n4 of n", "[2] n4 of n"], silent)
+    single("q", "sbi", "SBI — Nudm_SDM (flow 1)", "sbi_udm_timeout", "Nudm_SDM", ["(no SBI messages in this capture)"], silent)
+
+    kpis = "attach_time_ms: 12345678.5 | procedure_success_rate: 0.5 | procedure_successes: 3 | procedure_failures: 3"
+    whole = {p: [f"[1] {p} of m", f"[2] {p} of m"] for p in ("n4", "sbi")}
+    told = {p: whole[p] if repeat else [f"(see Timeline ({p.upper()}) after the last incident)"] for p in whole}
+    want = ["# Post-incident report — 4 incidents", "", "| # | flow | hypothesis | reward | rollouts |",
+            "|---|------|------------|--------|----------|", "| 1 | 1 | — | 0.5 | 2 |",
+            "| 2 | N4 — session_establishment (flow 2) | n4_upf_timeout | 0.5 | 2 |",
+            "| 3 | SBI — Nausf_UEAuthentication | sbi_udm_timeout | 0.5 | 2 |",
+            "| 4 | SBI — Nnssf_NSSelection (flow 1) | sbi_nssf_reject | 0.5 | 2 |", "",
+            "## Incident 1 — no hypothesis — flow 1", "",
+            *_incident("###", "No hypothesis: the LATS search completed no finalize.", "flow 1", ["[1] flow 1"], None, kpis),
+            "## Incident 2 — n4_upf_timeout — N4 — session_establishment (flow 2)", "",
+            *_incident("###", "session_establishment failed.", "N4", told["n4"], "n4_upf_timeout", kpis),
+            "## Incident 3 — sbi_udm_timeout — SBI — Nausf_UEAuthentication", "",
+            *_incident("###", "Nausf_UEAuthentication failed.", "SBI", told["sbi"], "sbi_udm_timeout", kpis),
+            "## Incident 4 — sbi_nssf_reject — SBI — Nnssf_NSSelection (flow 1)", "",
+            *_incident("###", "Nnssf_NSSelection failed.", "SBI", told["sbi"], "sbi_nssf_reject", kpis)]
+    if not repeat:
+        want += [x for p in ("n4", "sbi") for x in (f"## Timeline ({p.upper()})", "", *whole[p], "")]
+    assert got["m"] == "\n".join(want).rstrip() + "\n"
+
+
+def test_numbers_as_plain_text(spark):
+    made = [0.0, 0.5, -12.25, 1e7, 123456789.125, 1e12, 0.0001, -0.00025, None]
+    df = spark.createDataFrame([(v,) for v in made], "v double")
+    assert [r[0] for r in df.select(plain_number(F.col("v"))).collect()] == [
+        "0.0", "0.5", "-12.25", "10000000.0", "123456789.125", "1000000000000.0", "0.0001", "-0.00025", None]
+
+
+def test_label_files(spark, tmp_path):
+    for name, body in (("one.label.json", '{"incident_type": "auth_failure", "scenario": "first",\n "more": 1}'),
+                       ("two.label.json", '{"incident_type": "registration_reject"}')):
+        (tmp_path / name).write_text(body)
+    labels = store.read_labels(spark, str(tmp_path))
+    assert rows(labels, "scenario", "incident_type") == [("first", "auth_failure"), ("two", "registration_reject")]
+    entries = spark.createDataFrame([("first", 1), ("two", 2), ("other", 3)], "fixture string, run int")
+    assert rows(evaluate.with_label(entries, labels), "fixture", "run", "label") == [
+        ("first", 1, "auth_failure"), ("two", 2, "registration_reject")]
+
+
+def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_path):
+    assert store.read_store(spark, str(tmp_path / "none")).count() == 0
+    assert read_if_there(lambda: spark.read.parquet(str(tmp_path / "none"))) is None
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(AnalysisException):
+        read_if_there(lambda: spark.read.parquet(str(tmp_path / "broken")))
