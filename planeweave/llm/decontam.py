@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeweave.llm.common import prepare, rows_of, word_hashes
+from planeweave.llm.common import prepare, rows_of, stored, word_hashes
 
 PART_WORDS = 32          # longest indexed part of an item
 PASSAGE_WORDS = 64       # passages start every half passage, so a part lies whole in one
@@ -74,19 +74,43 @@ def aligned(part: list[str], near: list[str]) -> float:
     return 1.0 - int(edits.min()) / len(part)
 
 
+def parts_of(question: list[str], answer: list[str]) -> list[list[str]]:
+    """The indexed parts of an item: its words in pieces of about equal length."""
+    words = question + answer
+    count = -(-len(words) // PART_WORDS)
+    return [words[k * len(words) // count:(k + 1) * len(words) // count] for k in range(count)]
+
+
+class Statistics:
+    """What BM25 needs of all parts: their number, their mean length, and how many hold a term."""
+
+    def __init__(self, parts: int, words: int, holding: dict[str, int]):
+        self.parts, self.mean, self.holding = parts, words / parts if parts else 1.0, holding
+
+    @staticmethod
+    def of(parts: list[list[str]]) -> "Statistics":
+        holding: dict[str, int] = {}
+        for words in parts:
+            for w in set(words):
+                holding[w] = holding.get(w, 0) + 1
+        return Statistics(len(parts), sum(map(len, parts)), holding)
+
+
 class Index:
-    """Inverted index of item parts with impacts scaled so that a part scores 1 with itself."""
+    """Inverted index of item parts with impacts scaled so that a part scores 1 with itself.
+
+    `statistics` are those of the whole benchmark where the index holds some of its items only.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         self.items = [(i, *question_answer(t)) for i, t in items if tokens(t)]
         self.part_item: list[int] = []
         parts = []
         for at, (_, question, answer) in enumerate(self.items):
-            words = question + answer
-            count = -(-len(words) // PART_WORDS)
-            for k in range(count):
-                parts.append(words[k * len(words) // count:(k + 1) * len(words) // count])
-                self.part_item.append(at)
+            own_parts = parts_of(question, answer)
+            parts += own_parts
+            self.part_item += [at] * len(own_parts)
+        statistics = statistics or Statistics.of(parts)
         self.terms: dict[str, int] = {}
         postings: list[list[tuple[int, int]]] = []
         for p, words in enumerate(parts):
@@ -99,13 +123,13 @@ class Index:
                     postings.append([])
                 postings[t].append((p, n))
         lengths = np.array([len(w) for w in parts], float)
-        mean, own = (lengths.mean() if len(parts) else 1.0), np.zeros(len(parts))
-        raw = []
-        for posting in postings:
+        own, raw = np.zeros(len(parts)), []
+        for w, posting in zip(self.terms, postings):
             at = np.array([p for p, _ in posting])
             n = np.array([c for _, c in posting], float)
-            idf = np.log(1 + (len(parts) - len(at) + 0.5) / (len(at) + 0.5))
-            value = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[at] / mean))
+            holding = statistics.holding[w]
+            idf = np.log(1 + (statistics.parts - holding + 0.5) / (holding + 0.5))
+            value = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[at] / statistics.mean))
             own[at] += value
             raw.append((at, value))
         self.postings = [(at.tolist(), (value / own[at]).tolist()) for at, value in raw]
@@ -209,7 +233,8 @@ class Index:
                     terms.tolist(), threshold, r * self.length, (r + 1) * self.length)]:
                 words = words or tokens(text)
                 item = self.part_item[part]
-                if item in out and out[item][1] >= score:
+                # Equal but for the order in which terms were added: the first passage stays.
+                if item in out and out[item][1] >= score - 1e-9:
                     continue
                 row = self.verified(item, words, s, e, overlap)
                 if row:
@@ -275,18 +300,42 @@ class Index:
 
 
 def indexes(benchmark: DataFrame):
-    """Indexes over all items, each of about SHARD_BYTES of text, one after the other.
+    """(index, whether it is the last): indexes over all items, each of about SHARD_BYTES of text,
+    one after the other.
 
-    Items are dealt to the indexes by a hash; each index has its own BM25 statistics, as
-    shards of a search engine have.  Only one index at a time is on the driver.
+    Items are dealt to the indexes by a hash.  The statistics are counted once over all items, so
+    a passage is judged alike however many indexes there are.
     """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+
+    def tally(it):
+        for shards, texts in rows_of(it, "shard", "text"):
+            found: dict[tuple, list] = {}
+            for shard, text in zip(shards, texts):
+                for words in parts_of(*question_answer(text)):
+                    for term in (None, *set(words)):
+                        row = found.setdefault((shard, term), [0, 0])
+                        row[0] += 1
+                        row[1] += len(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string()),
+                 pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())],
+                ["shard", "term", "parts", "words"])
+
+    counts = stored(dealt.select("shard", "text").mapInArrow(tally, "shard long, term string, parts long, words long")
+                    .groupBy("shard", "term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words")), "bench-terms")
+    total = counts.where("term IS NULL").agg(F.sum("parts"), F.sum("words")).first()
+    everywhere = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("parts").alias("parts"))
     for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+        # What comes to the driver is one index's items and its terms.
+        rows = dealt.where(F.col("shard") == k).orderBy("item_id", "text").collect()
+        terms = everywhere.join(counts.where((F.col("shard") == k) & F.col("term").isNotNull()).select("term"), "term")
+        statistics = Statistics(total[0] or 0, total[1] or 0, {r["term"]: r["parts"] for r in terms.collect()})
+        yield Index([(r["item_id"], r["text"]) for r in rows], statistics), k == count - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
@@ -304,7 +353,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
               "passage_word long")
     found = spark.createDataFrame([], schema)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for index in indexes(benchmark):
+    for index, last in indexes(benchmark):
         sent = spark.sparkContext.broadcast(index)
 
         def search(it, sent=sent):
@@ -314,7 +363,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(NAMES, r)) for r in rows], schema=RESULT)
 
-        found = found.union(source.mapInArrow(search, schema))
+        matches = source.mapInArrow(search, schema)
+        if not last:
+            # Executors hold one index at a time: what it finds is written before the next is sent.
+            matches = stored(matches, "bench-matches")
+            sent.unpersist()
+        found = found.union(matches)
     return found
 
 
@@ -328,7 +382,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     prepare(spark)
     names, left = docs.columns, docs
     schema = docs.schema
-    for index in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    for index, last in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         sent = spark.sparkContext.broadcast(index)
 
         def clean(it, sent=sent):
@@ -338,4 +392,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         left = left.mapInArrow(clean, schema)
+        if not last:
+            left = stored(left, "bench-clean")
+            sent.unpersist()
     return left.select(names)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planeweave.llm.common import prepare, stored
+from planeweave.llm.common import grouped, prepare, stored
 from planeweave.llm.components import components
 
 WEIGHTS = (3, 1, 2)
@@ -157,42 +158,44 @@ def targets_of(sources: DataFrame, weights, total: float, repeats: int) -> DataF
 
 
 def contributions(sums: DataFrame, weights, share: float, repeats: int) -> DataFrame:
-    """(pattern, size, source_size, target, taken): the words that each pattern contributes."""
-    of = sums.withColumn("members", F.from_json("pattern", "array<string>"))
-    each = of.select("pattern", "size", F.size("members").alias("many"), F.explode("members").alias("source"))
+    """(pattern, size, source_size, target, taken): the words that each pattern contributes.
+
+    Sources that share patterns are one network; every network is solved by `route`, one that
+    is a single source with its single pattern like any other.
+    """
+    of = stored(sums.withColumn("members", F.from_json("pattern", "array<string>"))
+                .withColumn("id", F.monotonically_increasing_id()), "mix-members")
+    each = of.select("id", "pattern", "size", F.explode("members").alias("source"))
     total, most = of.agg(F.sum("size"), F.max(F.size("members"))).first()
     sources = stored(targets_of(each.groupBy("source").agg(F.sum("size").alias("size")), weights,
                                 share * (total or 0), repeats), "mix-targets")
-    asked = each.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).select(
-        "pattern", "size", "many", "k", "source_size", "target", F.floor("target").cast("long").alias("quota"))
+    asked = stored(each.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).select(
+        "id", "pattern", "size", "k", "source_size", "target", F.floor("target").cast("long").alias("quota")), "mix-asked")
+    network = F.col("k")
+    nets = asked
     if (most or 0) > 1:
-        asked = stored(asked, "mix-asked")
-        meets = asked.where("many > 1").groupBy("pattern").agg(F.min("k").alias("a"), F.collect_list("k").alias("ks"))
-        joined = components(meets.select("a", F.explode("ks").alias("b")), "mix-overlaps")
-        asked = asked.join(joined, asked["k"] == joined["node"], "left")
-
-        def flow(group):
-            import pandas as pd
-
-            rows = group.sort_values(["pattern", "k"])
-            members = {p: ks.tolist() for p, ks in rows.groupby("pattern")["k"]}
-            supply = {p: int(n) for p, n in zip(rows["pattern"], rows["size"])}
-            used = route(supply, members, {int(k): int(q) for k, q in zip(rows["k"], rows["quota"])}, repeats)
-            return pd.DataFrame({"pattern": list(used), "taken": list(used.values())})
-
-        shared = (asked.where("component IS NOT NULL").select("pattern", "size", "k", "quota", "component")
-                  .groupBy("component").applyInPandas(flow, "pattern string, taken long"))
-        asked = stored(asked.where("many = 1").join(shared.withColumnRenamed("taken", "flow"), "pattern", "left")
-                       .withColumn("taken", F.coalesce("flow", F.least("quota", F.lit(repeats) * F.col("size"))))
-                       .select("pattern", "source_size", "target", "taken")
-                       .union(shared.join(of.where("size(members) > 1").select("pattern"), "pattern", "left_semi").select(
-                           "pattern", F.lit(None).cast("long"), F.lit(None).cast("double"), "taken")), "mix-flows")
-    else:
-        # A source of its own takes what it asks for: no target is above what there is.
-        asked = asked.select("pattern", "source_size", "target",
-                             F.least("quota", F.lit(repeats) * F.col("size")).alias("taken"))
-    return sums.join(asked, "pattern", "left").select(
-        "pattern", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        first = Window.partitionBy("id")
+        meets = asked.select(F.min("k").over(first).alias("a"), F.col("k").alias("b")).where("a <> b")
+        joined = components(meets, "mix-overlaps")
+        nets = asked.join(joined, asked["k"] == joined["node"], "left")
+        network = F.coalesce("component", "k")
+
+    def flow(rows: dict) -> list[tuple[int, int]]:
+        # By pattern, so that reruns choose alike among flows of one cost.
+        ids, members = dict(zip(rows["pattern"], rows["id"])), {}
+        for pattern, source in sorted(zip(rows["pattern"], rows["k"])):
+            members.setdefault(pattern, []).append(source)
+        used = route(dict(zip(rows["pattern"], rows["size"])), members, dict(zip(rows["k"], rows["quota"])), repeats)
+        return [(ids[pattern], taken) for pattern, taken in used.items()]
+
+    routed = grouped(nets.select(network.alias("net"), "id", "pattern", "k", "size", "quota"), ["net"], flow,
+                     pa.schema([("id", pa.int64()), ("taken", pa.int64())]))
+    single = asked.groupBy("id").agg(F.count("*").alias("many"), F.first("source_size").alias("source_size"),
+                                     F.first("target").alias("target"))
+    alone = F.col("many") == 1
+    return (of.join(single, "id", "left").join(routed, "id", "left").select(
+        "pattern", "size", F.when(alone, F.col("source_size")).alias("source_size"),
+        F.when(alone, F.col("target")).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:

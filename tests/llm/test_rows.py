@@ -296,3 +296,55 @@ def test_shards_fit(docs, rows, empty):
         if s:
             assert sum(n for t, n in size.items() if t.startswith(s[:-1])) > limit
     assert sharding.shards(empty).count() == 0
+
+
+def cheapest(supply, members, quotas, repeats):
+    """Most words that can be placed and their least cost, by trying all ways."""
+    ways = [[]]
+    for p, size in supply.items():
+        own = [()]
+        for s in members[p]:
+            own = [w + (n,) for w in own for n in range(min(size * repeats - sum(w), quotas[s]) + 1)]
+        ways = [w + [o] for w in ways for o in own]
+    best = None
+    for way in ways:
+        placed = Counter()
+        for (p, size), units in zip(supply.items(), way):
+            for s, n in zip(members[p], units):
+                placed[s] += n
+        if any(placed[s] > quotas[s] for s in quotas):
+            continue
+        cost = sum(-(-unit // size) for (p, size), units in zip(supply.items(), way) for unit in range(1, sum(units) + 1))
+        best = min(best or (0, 0), (-sum(placed.values()), cost))
+    return -best[0], best[1]
+
+
+def test_routes_are_cheapest_flows():
+    rng = random.Random(21)
+    for _ in range(150):
+        sources = range(rng.randint(1, 3))
+        members = {p: sorted(rng.sample(sources, rng.randint(1, len(sources)))) for p in range(rng.randint(1, 3))}
+        supply = {p: rng.randint(1, 3) for p in members}
+        quotas = {s: rng.randint(0, 5) for s in sources}
+        repeats = rng.randint(1, 2)
+        used = mixing.route(supply, members, quotas, repeats)
+        cost = sum(-(-unit // supply[p]) for p, n in used.items() for unit in range(1, n + 1))
+        assert (sum(used.values()), cost) == cheapest(supply, members, quotas, repeats)
+        assert all(n <= supply[p] * repeats for p, n in used.items())
+
+
+def test_items_score_alike_in_any_number_of_indexes(spark, monkeypatch, tmp_path):
+    rng = random.Random(31)
+    items = [(k, prose(rng, 20 + k % 30) + "? " + prose(rng, 6 + k % 5)) for k in range(60)]
+    rows = [(k, prose(rng, 70) + " " + items[k % 60][1] + " " + prose(rng, 70)) for k in range(60)]
+    rows += [(100 + k, " ".join(w if at % 7 else "other" for at, w in enumerate(items[k][1].split()))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1 << 20, 2_000, 300):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.passage_word) for r in decontam.contaminated(docs, bench).collect()))
+    assert len(found[0]) >= 60 and found[0] == found[1] == found[2]
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {r.doc_id for r in decontam.decontaminate_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {k for k, _ in rows} - {r[0] for r in found[0]}
