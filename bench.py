@@ -24,7 +24,8 @@ HEADLINE = [
     "c4_sbi_response_inheritance", "c5_n4_link", "i7_incident_union", "e5_grounding",
     "m2_consolidate", "m4_similar_episodes", "t1_sctp_retransmission_dedup",
     "t2_chunk_reassembly", "x5_chunk_emit", "x13_co_mentioned_edges", "r1_cosine_similarity",
-    "r2_phrase_bonus", "v1_type_accuracy", "w3_plane_timelines",
+    "r2_phrase_bonus", "r3_hybrid_top_k", "r5_hybrid_answer", "v1_type_accuracy", "w3_plane_timelines",
+    "w7_report_assembly",
 ]
 
 
