@@ -149,6 +149,26 @@ def test_lines_equal_all_pairs(docs, rows):
         assert r.n_lines == (0 if texts[i] is None else texts[i].count("\n") + 1)
 
 
+def test_compared_lines_join_as_their_sets_do():
+    rng = random.Random(1)
+    for t in range(1500):
+        letters = rng.choice(["ab c", "abé中", "".join(chr(200 + k) for k in range(300))]) + ("\0" if t % 50 == 0 else "")
+        base, made = [rng.choice(letters) for _ in range(rng.randint(1, 40))], []
+        while len(made) < rng.choice([2, 2, 3, 5]):
+            x = list(base)
+            for _ in range(rng.randint(0, 2)):
+                x.insert(rng.randrange(len(x) + 1), rng.choice(letters))
+            made += ["".join(x)] if "".join(x) not in made else []
+        own = [rng.randrange(2) for _ in made]
+        crossing = len(set(own)) == 2 and rng.random() < .3
+        n = len(made)
+        got = lines.compared({"id": list(range(n)), "line": made, "own": own, "low": [0] * n, "high": [int(crossing)] * n})
+        sets = [lines.shingle_set(x) for x in made]
+        links = [(i, j) for i, j in combinations(range(n), 2) if (not crossing or own[i] != own[j])
+                 and 100 * len(sets[i] & sets[j]) >= lines.PERCENT * len(sets[i] | sets[j])]
+        assert {tuple(sorted(p)) for p in got} <= set(links) and labels(range(n), got) == labels(range(n), links)
+
+
 def test_dropped_lines_leave_the_text(docs, spark):
     small = spark.createDataFrame([(1, "same line here\nown one", 3), (2, "same line here\nmine", 4), (3, None, 5)],
                                   "doc_id long, text string, dropped int")
