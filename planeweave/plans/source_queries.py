@@ -11,11 +11,11 @@ from planeweave.operators import correlate, corpus, evaluate, flows, kpi, memory
 from planeweave.operators import retrieval
 from planeweave.plans import bridges as b
 from planeweave.plans.graph_queries import chunks
-from planeweave.plans.n2_queries import RUN_KPIS, run_kpis
-from planeweave.plans.plane_queries import K3_GAPS, sbi_messages
+from planeweave.plans.n2_queries import RUN_KPIS
+from planeweave.plans.plane_queries import K3_GAPS, planes, sbi_messages
 from planeweave.plans.registry import query
 from planeweave.plans.incident_queries import episodes
-from planeweave.session import cut_lineage, shared_folder
+from planeweave.session import shared_folder, written
 from planeweave.sources import episodes as store
 from planeweave.sources import exports
 
@@ -58,8 +58,8 @@ _DOC_PROCS = """SELECT run_id, flow_id, string_agg(kind || ':' || outcome, ',' O
     AS procedures FROM n2proc GROUP BY 1, 2"""
 
 
-def _documents(spark, d):
-    visible, table, procs = flows.analyze(b.n2(spark, d))
+def _documents(n2):
+    visible, table, procs = flows.analyze(n2)
     return visible, exports.n2_documents(visible, table, flows.with_duration(procs), False)
 
 
@@ -76,22 +76,23 @@ def _shown(documents, *more):
     FROM ({_DOC}) d JOIN n2attr a USING (run_id, flow_id)
     LEFT JOIN ({_DOC_PROCS}) p USING (run_id, flow_id)""")
 def _(spark, d):
-    return _shown(_documents(spark, d)[1])
+    return _shown(_documents(b.n2(spark, d))[1])
 
 
 @query("s3_n4_export", """SELECT m.run_id, m.msg_no, m.name, m.cause, m.cause_code, l.flow_id
     FROM n4b m LEFT JOIN n4link l USING (run_id, msg_no)""")
 def _(spark, d):
-    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
-    return exports.n4_records(correlate.n4_with_flow(b.n4(spark, d), visible)).select(
+    events = b.decoded(spark, d)
+    visible = written(flows.visible_messages(b.n2(spark, d, events)))
+    return exports.n4_records(correlate.n4_with_flow(b.n4(spark, d, events), visible)).select(
         "run_id", "msg_no", "name", "cause", "cause_code", "flow_id")
 
 
 @query("s4_sbi_export", """SELECT m.run_id, m.msg_no, m.name AS service, m.name, m.path, m.status,
     l.flow_id FROM sbimsg m LEFT JOIN sbilink l USING (run_id, msg_no)""")
 def _(spark, d):
-    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
-    linked = correlate.sbi_with_flow(sbi_messages(spark, d), visible)
+    n2, _, http = planes(spark, d)
+    linked = correlate.sbi_with_flow(http, written(flows.visible_messages(n2)))
     return exports.sbi_records(linked.withColumn("body_len", F.lit(0).cast("long"))).select(
         "run_id", "msg_no", "service", "name", "path", "status", "flow_id")
 
@@ -105,11 +106,11 @@ def _(spark, d):
       FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, flow_id ORDER BY msg_no) - 1)
         // 100000 AS part FROM n4link) GROUP BY 1, 2, 3) n USING (run_id, flow_id, part)""")
 def _(spark, d):
-    visible, documents = _documents(spark, d)
-    http = correlate.links(correlate.sbi_with_flow(sbi_messages(spark, d), visible))
-    merged = exports.merged_documents(
-        documents, correlate.flow_refs(http),
-        correlate.flow_refs(correlate.link_n4(b.n4(spark, d), visible)))
+    n2, n4, http = planes(spark, d)
+    visible, documents = _documents(n2)
+    linked = [written(links) for links in (correlate.links(correlate.sbi_with_flow(http, visible)),
+                                           correlate.link_n4(n4, visible))]
+    merged = exports.merged_documents(documents, *[correlate.flow_refs(links) for links in linked])
     refs = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
             for c in ("sbi_refs", "n4_refs")]
     return _shown(merged, *refs).drop("partial", "procedures")
@@ -118,11 +119,11 @@ def _(spark, d):
 @query("s5_merged_kpis", f"""SELECT run_id, procedure_successes, round(avg(sbi_to_n4_ms), 3)
     AS sbi_to_n4_ms FROM ({RUN_KPIS}) LEFT JOIN ({K3_GAPS}) USING (run_id) GROUP BY 1, 2""")
 def _(spark, d):
-    visible = cut_lineage(flows.visible_messages(b.n2(spark, d)))
-    cross = kpi.cross_plane_kpis(
-        visible, correlate.sbi_with_flow(sbi_messages(spark, d), visible),
-        correlate.n4_with_flow(b.n4(spark, d), visible))
-    return exports.merged_kpis(run_kpis(spark, d), cross).select(
+    n2, n4, http = planes(spark, d)
+    visible, table, procs = flows.analyze(n2)
+    cross = kpi.cross_plane_kpis(visible, correlate.sbi_with_flow(http, visible),
+                                 correlate.n4_with_flow(n4, visible))
+    return exports.merged_kpis(kpi.run_kpis(procs, table), cross).select(
         "run_id", "procedure_successes", F.round("sbi_to_n4_ms", 3).alias("sbi_to_n4_ms"))
 
 
