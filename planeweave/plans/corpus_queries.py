@@ -125,9 +125,7 @@ block("packed", """SELECT spec, node_no, unnest(range(len(done))) AS body_no, un
 @query("x4_body_packing", """SELECT spec, node_no, body_no, md5(body) AS body,
     CAST(length(body) AS BIGINT) AS chars FROM packed""")
 def _(spark, d):
-    lines = units(spark, d)
-    heads = corpus.headings(lines)
-    return corpus.pack(corpus.bodies(lines, heads)).select(
+    return corpus.packed_bodies(units(spark, d)).select(
         "spec", "node_no", "body_no", F.md5(F.encode("body", "UTF-8")).alias("body"),
         F.length("body").cast("long").alias("chars"))
 

@@ -3,7 +3,7 @@
 import pytest
 from build import n2, nas, rows
 
-from planeweave.operators import evidence, flows, incidents
+from planeweave.operators import corpus, evidence, flows, incidents
 from planeweave.plans import bridges as b
 from planeweave.plans.plane_queries import planes
 
@@ -52,3 +52,24 @@ def test_tolerance_reaches_over_cell_borders(spark, ts):
     assert kept.count() == names.count()
     assert rows(evidence.ground(cites, evidence.inventory(kept)), "cite_id", "grounded") == [
         (0, True), (1, True), (2, False)]
+
+
+def test_texts_and_titles_stay_out_of_the_scans_of_a_corpus(spark, monkeypatch):
+    scanned, written = [], []
+    scan, write = corpus.scan, corpus.written
+    monkeypatch.setattr(corpus, "scan", lambda df, *a, **k: scanned.append(df.columns) or scan(df, *a, **k))
+    monkeypatch.setattr(corpus, "written", lambda df: written.append(df.columns) or write(df))
+    units = spark.createDataFrame([
+        ("s", 0, "h", "1\tScope"), ("s", 1, "p", "a" * 50), ("s", 2, "h", "1.1\tMore"), ("s", 3, "p", "y " * 3500),
+        ("s", 4, "p", "z" * 4000), ("s", 5, "h", "2\tContents"), ("s", 6, "p", "gone"), ("s", 7, "h", "3\tEnd"),
+        ("s", 8, "p", "v" * 73), ("s", 9, "p", "")], "spec string, unit_no bigint, kind string, text string")
+    specs = spark.createDataFrame([("s", "TS 1", "j30")], "spec string, title string, token string")
+    made = rows(corpus.build(units, specs), "node_no", "body_no", "text", "chars")
+    assert scanned and not any({"text", "title"} & set(columns) for columns in scanned)
+    assert not any({"text", "piece"} & set(columns) for columns in written)
+    # The text of the clause and two line feeds make the last clause 80 characters long.
+    assert [(n, b, c) for n, b, _, c in made] == [(2, 0, 5999), (2, 1, 5002), (7, 0, 75)]
+    whole = rows(corpus.pack(corpus.bodies(units, corpus.headings(units))), "node_no", "body_no", "body")
+    assert [t.split("\n", 2 if "[under" in t else 1)[-1] for _, _, t, _ in made] == [
+        body for node, _, body in whole if node != 0]
+    assert rows(corpus.packed_bodies(units), "node_no", "body_no", "body") == whole
