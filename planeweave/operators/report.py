@@ -35,6 +35,9 @@ KPI_ORDER = ["attach_time_ms", "pdu_session_time_ms", "procedure_success_rate",
              "procedure_successes", "procedure_failures"]
 TIMELINE_CAP, SPEC_CAP, LINE_CAP = 50, 6, 78
 
+# Answered questions in one task of the spec context.
+PART_ANSWERS = 500_000
+
 HEADER, ROOT_CAUSE, EVIDENCE, SPEC, TIMELINE, KPIS, SEARCH, MEMORY = range(8)
 
 
@@ -179,11 +182,15 @@ def spec_context(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     how many more (W5).
 
     `asked` has run_id, incident_no, ask_no, entity_id; `blocks` entity_id, block.
+    Repeated questions do not matter.  Few of them fall together, so they are dealt out before they
+    are folded, in as many parts as keep a task's share the same in any table.
     """
+    from planeweave.functions.blocks import parts_of
     from planeweave.functions.top import top_rows
 
     key = ["run_id", "incident_no"]
-    firsts = asked.filter(F.col("entity_id").isNotNull()).groupBy(*key, "entity_id").agg(
+    answered = asked.filter(F.col("entity_id").isNotNull()).select(*key, "entity_id", "ask_no")
+    firsts = answered.repartition(parts_of(answered, PART_ANSWERS), *key).groupBy(*key, "entity_id").agg(
         F.min("ask_no").alias("ask_no"))
     shown = top_rows(firsts, key, ["ask_no", "entity_id"], SPEC_CAP, "line_no").join(blocks, "entity_id")
     more = firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(

@@ -8,7 +8,7 @@ from planeweave.operators import graph, report, retrieval
 from planeweave.plans import bridges as b
 from planeweave.plans.oracle import block
 from planeweave.plans.registry import query
-from planeweave.session import cut_lineage
+from planeweave.session import cut_lineage, written
 
 # One chunk per document; its clause follows from the id, a table row or a name is
 # added below its text.
@@ -360,12 +360,14 @@ _ITEM = ["CAST('run0' AS STRING) AS run_id", "l_orderkey AS incident_no",
     SELECT incident_no, rk AS line_no, id AS text FROM r WHERE rk <= 6 UNION ALL
     SELECT incident_no, 7, '… and ' || n - 6 || ' more' FROM r WHERE rk = 7""")
 def _(spark, d):
-    """Blocks are shown by entity id here."""
+    """Blocks are shown by entity id here.  Equal items ask the same, so they need no folding first."""
     table = cut_lineage(graph.entities(chunks(spark, d)))
-    items = b.table(spark, d, "lineitem").selectExpr(*_ITEM).distinct()
+    items = b.table(spark, d, "lineitem").selectExpr(*_ITEM)
     asked = report.spec_queries(items)
-    found = graph.resolve(asked.select(F.col("query").alias("query_id"), "query").distinct(), table)
+    found = written(graph.resolve(asked.select(F.col("query").alias("query_id"), "query").distinct(), table))
     named = asked.join(found.withColumnRenamed("query_id", "query"), "query", "left")
-    blocks = table.select(F.col("id").alias("entity_id"), F.col("id").alias("block")).distinct()
+    # Only the entities found: where they are few, no citation is sorted beside others of its entity.
+    blocks = written(table.select(F.col("id").alias("entity_id"), F.col("id").alias("block")).join(
+        found, "entity_id", "left_semi").distinct())
     return report.spec_context(named, blocks).select(
         "incident_no", "line_no", F.rtrim(F.regexp_replace("text", "\n", "")).alias("text"))

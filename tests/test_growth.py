@@ -3,7 +3,7 @@
 import pytest
 from build import n2, nas, rows
 
-from planeweave.operators import corpus, evidence, flows, incidents
+from planeweave.operators import corpus, evidence, flows, incidents, report
 from planeweave.plans import bridges as b
 from planeweave.plans.plane_queries import planes
 
@@ -73,3 +73,17 @@ def test_texts_and_titles_stay_out_of_the_scans_of_a_corpus(spark, monkeypatch):
     assert [t.split("\n", 2 if "[under" in t else 1)[-1] for _, _, t, _ in made] == [
         body for node, _, body in whole if node != 0]
     assert rows(corpus.packed_bodies(units), "node_no", "body_no", "body") == whole
+
+
+def test_spec_context_keeps_the_share_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(report, "PART_ANSWERS", 5)
+    asked = spark.createDataFrame([("r", i, 2 * k, f"e{k % 8}") for i in range(4) for k in range(16)]
+                                  + [("r", 9, 1, None), ("r", 9, 3, "e1"), ("r", 9, 3, "e1")],
+                                  "run_id string, incident_no long, ask_no long, entity_id string")
+    blocks = spark.createDataFrame([(f"e{k}", f"b{k}") for k in range(8)], "entity_id string, block string")
+    shown = report.spec_context(asked, blocks)
+    # 66 answers, 5 to a task.
+    assert "REPARTITION_BY_NUM" in _plan(shown) and "incident_no#" in _plan(shown) and ", 14)" in _plan(shown)
+    assert rows(shown, "incident_no", "line_no", "text") == sorted(
+        [(i, k + 1, f"b{k}\n") for i in range(4) for k in range(6)] + [(i, 7, "… and 2 more") for i in range(4)]
+        + [(9, 1, "b1\n")])
