@@ -3,8 +3,9 @@
 import pytest
 from build import n2, nas, rows
 
-from planeweave.operators import corpus, evidence, flows, incidents, report
+from planeweave.operators import corpus, evidence, flows, incidents, memory, report
 from planeweave.plans import bridges as b
+from planeweave.plans import catalog, incident_queries
 from planeweave.plans.plane_queries import planes
 
 
@@ -19,6 +20,39 @@ def test_planes_start_from_decoded_events(spark):
     assert decoded.count() == b.ev(spark, "/root/testdata/sf0.001").count()
 
 
+@pytest.mark.parametrize("name", ["m4_similar_episodes", "i1_n2_incident_filter"])
+def test_failed_flows_start_from_decoded_events_of_few_columns(spark, monkeypatch, name):
+    given, analyze = [], flows.analyze
+    monkeypatch.setattr(flows, "analyze", lambda messages: given.append(messages) or analyze(messages))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "get_json_object" not in _plan(given[0]) and not {"src_ip", "f_teids"} & set(given[0].columns)
+
+
+def test_cited_items_are_worked_out_once_to_check_and_once_to_show(spark):
+    episodes = incident_queries.episodes(spark, "/root/testdata/sf0.001")
+    assert _plan(episodes).count("filter(array(") == 1
+    assert _plan(memory.valid(episodes)).count("filter(array(") == 2
+    odd = spark.createDataFrame(
+        [(i, "auth_failure", "n", cited) for i, cited in enumerate(
+            [None, [], [None], [("A", None)], [("A", 1), (None, 2)], [("A", 0), None]])],
+        "id int, incident_type string, narrative string, cited_evidence array<struct<message string, cause int>>")
+    assert rows(memory.valid(odd), "id") == [(3,)]
+
+
+def test_episodes_fold_by_sets_whatever_order_and_repeats(spark, monkeypatch):
+    kept, cut = [], memory.cut_lineage
+    monkeypatch.setattr(memory, "cut_lineage", lambda df: kept.append(df) or cut(df))
+    cited = [[("A", 1), ("B", 0)], [("B", 1), ("A", None)], [("A", 1), ("B", 1), ("A", 1)], [("B", None), ("A", 1)]]
+    made = spark.createDataFrame(
+        [(i, "auth_failure", "n", c) for i, c in enumerate(cited)],
+        "id int, incident_type string, narrative string, cited_evidence array<struct<message string, cause int>>"
+    ).selectExpr("*", "timestamp_seconds(id) AS created_at")
+    asked = spark.createDataFrame([(0, "Registration", ["A"], [1])],
+                                  "inc int, procedure string, names array<string>, causes array<int>")
+    assert rows(memory.similar(asked, made, "inc", "id"), "rank", "id", "score") == [(1, 3, 6), (2, 2, 6), (3, 1, 6)]
+    assert rows(kept[0], "id", "tokens") == [(i, ["c:1", "n:A", "n:B"]) for i in (1, 2, 3)]
+
+
 def test_flows_are_folded_without_sorting_messages(spark):
     visible, table, procs = flows.analyze(n2(spark, [{"ngap": "InitialUEMessage", "nas": nas("A", cause=5)}]))
     assert "SortAggregate" not in _plan(table) and "ExistingRDD" not in _plan(visible)
