@@ -1,11 +1,13 @@
 """Plans whose cost must not grow faster than the tables."""
 
+import numpy as np
 import pytest
 from build import n2, nas, rows
 
-from planeweave.operators import corpus, evidence, flows, incidents, memory, report
+from planeweave.functions import occur
+from planeweave.operators import corpus, evidence, flows, graph, incidents, memory, report
 from planeweave.plans import bridges as b
-from planeweave.plans import catalog, incident_queries
+from planeweave.plans import catalog, graph_queries, incident_queries
 from planeweave.plans.plane_queries import planes
 
 
@@ -121,3 +123,32 @@ def test_spec_context_keeps_the_share_of_a_task(spark, monkeypatch):
     assert rows(shown, "incident_no", "line_no", "text") == sorted(
         [(i, k + 1, f"b{k}\n") for i in range(4) for k in range(6)] + [(i, 7, "… and 2 more") for i in range(4)]
         + [(9, 1, "b1\n")])
+
+
+def test_chunks_are_put_together_once_and_mentions_worked_out_once(spark, monkeypatch):
+    given, met = [], []
+    entities, mention_rows = graph.entities, graph.mention_rows
+    monkeypatch.setattr(graph, "entities", lambda chunks: given.append(chunks) or entities(chunks))
+    monkeypatch.setattr(graph, "mention_rows", lambda *args: met.append(mention_rows(*args)) or met[-1])
+    wrote = []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: wrote.append(_plan(df)) or write(df))
+    catalog.QUERIES["x13_co_mentioned_edges"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract" not in _plan(given[0]) and "split" not in _plan(given[0])
+    # Of the written tables one reads the pairs that the search found.
+    assert sum("sequence(1, (size(split(clause" in plan for plan in wrote) == 1
+
+
+def test_first_words_are_those_of_the_sql(spark):
+    texts = ["", " ", "a", "a b", "a\nb c", "\na", "a  b", "a\r\nb", "a\tb c", "é😀 b\n", None]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert rows(given.selectExpr(*graph_queries._FIRST), "doc_id", "w1", "w2") == rows(
+        given.selectExpr(*graph_queries._WORDS), "doc_id", "w1", "w2")
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 8, 9, 40])
+def test_first_bytes_of_every_place(size):
+    data = np.arange(200, 200 + size).astype(np.uint8)
+    for width in occur.WIDTHS:
+        assert occur._first(data, width).tolist() == [
+            int.from_bytes(data[k:k + width].tobytes()) for k in range(size - width + 1)]
