@@ -125,15 +125,14 @@ def test_spec_context_keeps_the_share_of_a_task(spark, monkeypatch):
         + [(9, 1, "b1\n")])
 
 
-def test_chunks_are_put_together_once_and_mentions_worked_out_once(spark, monkeypatch):
-    given, met = [], []
-    entities, mention_rows = graph.entities, graph.mention_rows
+def test_chunks_are_put_together_once_and_mentions_worked_out_once(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(k, f"Word{k % 5} other{k % 3}\nword{k % 4} other{k % 3} the end") for k in range(60)],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, wrote = [], []
+    entities, write = graph.entities, graph.written
     monkeypatch.setattr(graph, "entities", lambda chunks: given.append(chunks) or entities(chunks))
-    monkeypatch.setattr(graph, "mention_rows", lambda *args: met.append(mention_rows(*args)) or met[-1])
-    wrote = []
-    write = graph.written
     monkeypatch.setattr(graph, "written", lambda df: wrote.append(_plan(df)) or write(df))
-    catalog.QUERIES["x13_co_mentioned_edges"](spark, "/root/testdata/sf0.001")
+    catalog.QUERIES["x13_co_mentioned_edges"](spark, str(tmp_path))
     assert "regexp_extract" not in _plan(given[0]) and "split" not in _plan(given[0])
     # Of the written tables one reads the pairs that the search found.
     assert sum("sequence(1, (size(split(clause" in plan for plan in wrote) == 1
